@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def all_queries():
     """All registered queries and their SQL, in inventory order."""
-    from barloom.suite import case, panel, technical  # noqa: F401
+    from barloom.suite import case, evaluation, panel, technical  # noqa: F401
 
     return case.QUERIES, case.SQL
