@@ -11,13 +11,20 @@ TRACKING_PARAMETERS = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "
 #: News from this UTC hour on belongs to the next trading day.
 CUTOFF_HOUR_UTC = 11
 
-WORD = r"(?U)\w+"
+# A word is a run of letters, digits and underscores of any script; combining marks end it.
+_W = r"[\p{L}\p{N}_]"
+WORD = _W + "+"
 
 
 def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``, also inside of lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _form_decoded(text: Column) -> Column:
     return F.coalesce(F.try_url_decode(text), text)
 
@@ -44,9 +51,15 @@ def normalized_url(url: Column | str) -> Column:
         ),
     )
     pairs = F.filter(pairs, lambda p: ~p["k"].isin(*TRACKING_PARAMETERS))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    gathered = F.flatten(F.transform(keys, lambda k: F.filter(pairs, lambda p: p["k"] == k)))
-    text = F.array_join(F.transform(gathered, lambda p: F.concat(_form_encoded(p["k"]), F.lit("="), _form_encoded(p["v"]))), "&")
+
+    def gathered(known: Column) -> Column:
+        keys = F.array_distinct(F.transform(known, lambda p: p["k"]))
+        return F.flatten(F.transform(keys, lambda k: F.filter(known, lambda p: p["k"] == k)))
+
+    encoded = F.transform(
+        let(pairs, gathered), lambda p: F.concat(_form_encoded(p["k"]), F.lit("="), _form_encoded(p["v"]))
+    )
+    text = F.array_join(encoded, "&")
     return F.concat(
         base,
         F.when(text != "", F.concat(F.lit("?"), text)).otherwise(""),
@@ -78,7 +91,10 @@ def first_word(term: Column) -> Column:
 
 def whole_term(term: Column) -> Column:
     """Pattern of a literal term between word boundaries."""
-    return F.concat(F.lit(r"(?U)\b"), F.regexp_replace(F.lower(term), r"([^\w\s])", r"\\$1"), F.lit(r"\b"))
+    t = F.lower(term)
+    left = F.when(t.rlike("^" + _W), rf"(?<!{_W})").otherwise(rf"(?<={_W})")
+    right = F.when(t.rlike(_W + "$"), rf"(?!{_W})").otherwise(rf"(?={_W})")
+    return F.concat(left, F.regexp_replace(t, r"([^\w\s])", r"\\$1"), right)
 
 
 def compound(total: Column) -> Column:

@@ -58,12 +58,15 @@ def match_companies(articles: DataFrame, terms: DataFrame, inline_terms: int = I
             return articles.withColumn("ticker", F.lit(None).cast("string")).filter(F.lit(False))
         firsts = F.array(*[F.lit(w) for w in sorted({r["first"] for r in rows})])
         table = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("ticker", "first", "pattern")]) for r in sorted(rows)])
-        df = articles.withColumn("_text", text).withColumn("_hits", F.array_intersect(tx.words(F.col("_text")), firsts))
-        found = F.filter(table, lambda t: F.array_contains(F.col("_hits"), t["first"]))
-        df = df.filter(F.size("_hits") > 0).withColumn("_near", found)
-        matched = F.filter(F.col("_near"), lambda t: F.regexp_like(F.col("_text"), t["pattern"]))
-        tickers = F.array_distinct(F.transform(matched, lambda t: t["ticker"]))
-        return df.withColumn("ticker", F.explode(tickers)).drop("_text", "_hits", "_near")
+
+        def named(body: Column) -> Column:
+            def among(hits: Column) -> Column:
+                found = F.filter(table, lambda t: F.array_contains(hits, t["first"]) & F.regexp_like(body, t["pattern"]))
+                return F.array_distinct(F.transform(found, lambda t: t["ticker"]))
+
+            return tx.let(F.array_intersect(tx.words(body), firsts), among)
+
+        return articles.withColumn("ticker", F.explode(tx.let(text, named)))
     keyed = terms.select("ticker", tx.first_word(F.col("term")).alias("_word"), tx.whole_term(F.col("term")).alias("_pattern"))
     df = articles.withColumn("_text", text)
     df = df.withColumn("_word", F.explode(F.array_distinct(tx.words(F.col("_text")))))
@@ -194,14 +197,12 @@ def analyse_articles(
     lowest ticker survives, because the copies share URL and headline.
     """
     dedup = dedup_first_wins if exact else dedup_cheap
-    matched = match_companies(articles, terms)
+    # Only the pairs are written, so the texts are searched once.
+    pairs = settle(match_companies(articles, terms).select("article_id", "ticker"), "news-pairs")
     if split_first:
-        lowest = matched.groupBy("article_id").agg(F.min("ticker").alias("ticker"))
-        matched = articles.drop("ticker").join(lowest, "article_id")
-        return score_sentiment(dedup(matched), lexicon)
-    kept = dedup(articles.join(matched.select("article_id").distinct(), "article_id", "left_semi")).select("article_id", "url")
-    matched = matched.drop("url").join(kept, "article_id")
-    return score_sentiment(matched, lexicon)
+        pairs = pairs.groupBy("article_id").agg(F.min("ticker").alias("ticker"))
+    named = articles.join(pairs.select("article_id").distinct(), "article_id", "left_semi")
+    return score_sentiment(dedup(named).drop("ticker").join(pairs, "article_id"), lexicon)
 
 
 def news_rollup(articles: DataFrame, terms: DataFrame, lexicon: DataFrame, **options) -> DataFrame:

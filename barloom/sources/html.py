@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.text import bare_symbol, number
+from barloom.functions.text import bare_symbol, let, number
 
 
 def inner_text(html: Column) -> Column:
@@ -86,4 +86,8 @@ def _last_per_key(keys: Column, values: Column) -> Column:
     """A repeated heading keeps its last value."""
     pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
     pairs = F.transform(pairs, lambda e, i: F.struct(e["k"].alias("k"), e["v"].alias("v"), i.alias("i")))
-    return F.filter(pairs, lambda e: ~F.exists(pairs, lambda o: (o["k"] == e["k"]) & (o["i"] > e["i"])))
+
+    def last(known: Column) -> Column:
+        return F.filter(known, lambda e: ~F.exists(known, lambda o: (o["k"] == e["k"]) & (o["i"] > e["i"])))
+
+    return let(pairs, last)

@@ -29,6 +29,10 @@ def _plain(value):
         if math.isnan(value):
             return "nan"
         return 0.0 if value == 0 else value
+    if isinstance(value, (list, tuple)):
+        return tuple(_plain(x) for x in value)
+    if isinstance(value, dict):
+        return tuple(sorted((k, _plain(x)) for k, x in value.items()))
     return value
 
 

@@ -46,6 +46,13 @@ def metric_sql(p: str, prefix: str = "", digits: int = 4) -> str:
     round(avg(CASE WHEN sign(y) = sign({p}) THEN 1.0 ELSE 0.0 END) * 100, {digits}) AS {prefix}directional_accuracy"""
 
 
+def raw_metric_sql(p: str, prefix: str = "") -> str:
+    price, guess = "(close * (1 + y))", f"(close * (1 + {p}))"
+    return f"""avg(abs({price} - {guess})) AS {prefix}mae, sqrt(avg(pow({price} - {guess}, 2))) AS {prefix}rmse,
+    avg(abs({price} - {guess}) / greatest(abs({price}), 2.220446049250313e-16)) * 100 AS {prefix}mape,
+    avg(CASE WHEN sign(y) = sign({p}) THEN 1e0 ELSE 0e0 END) * 100 AS {prefix}directional_accuracy"""
+
+
 def rounded_metrics(df: DataFrame, *keys: str, prefixes=("",)) -> DataFrame:
     cols = []
     for p in prefixes:
@@ -279,14 +286,13 @@ _RESULTS = (
 
 
 def results(v: Views, prediction: str = "rf_return") -> DataFrame:
-    df = ev.window_metrics(ev.rows_in_windows(scored(v), windows(v), "test"), prediction)
-    keys = ("ticker", "window_idx", "train_start", "train_end", "test_start", "test_end")
-    return rounded_metrics(df, *keys, prefixes=("", "naive_"))
+    return ev.window_metrics(ev.rows_in_windows(scored(v), windows(v), "test"), prediction)
 
 
 @case("a09_window_metrics", with_views(_RESULTS + "SELECT * FROM res", "predictions"))
 def a09(v: Views):
-    return results(v)
+    keys = ("ticker", "window_idx", "train_start", "train_end", "test_start", "test_end")
+    return rounded_metrics(results(v), *keys, prefixes=("", "naive_"))
 
 
 @case(
@@ -312,7 +318,7 @@ _RUNS = (
     + _in_window("test")
     + ", "
     + ", ".join(
-        f"""res_{m} AS (SELECT '{m}' AS run_id, ticker, window_idx, {metric_sql(f'{m}_return')}, {metric_sql('0.0', 'naive_')}
+        f"""res_{m} AS (SELECT '{m}' AS run_id, ticker, window_idx, {raw_metric_sql(f'{m}_return')}, {raw_metric_sql('0.0', 'naive_')}
             FROM hit GROUP BY ticker, window_idx)"""
         for m in ("rf", "lr", "xgb")
     )
@@ -351,7 +357,6 @@ def run_results(v: Views) -> DataFrame:
     df = long.groupBy("run_id", "ticker", "window_idx").agg(
         *ev.metric_exprs("target_return_t1", "prediction", "close"), *ev.metric_exprs("target_return_t1", "zero", "close", "naive_")
     )
-    df = rounded_metrics(df, "run_id", "ticker", "window_idx", prefixes=("", "naive_"))
     good = df.filter("run_id = 'rf'").withColumns(
         {
             "run_id": F.lit("good"),
