@@ -202,7 +202,7 @@ def analyse_articles(
     if split_first:
         pairs = pairs.groupBy("article_id").agg(F.min("ticker").alias("ticker"))
     named = articles.join(pairs.select("article_id").distinct(), "article_id", "left_semi")
-    return score_sentiment(dedup(named).drop("ticker").join(pairs, "article_id"), lexicon)
+    return score_sentiment(dedup(named), lexicon).drop("ticker").join(pairs, "article_id")
 
 
 def news_rollup(articles: DataFrame, terms: DataFrame, lexicon: DataFrame, **options) -> DataFrame:

@@ -109,3 +109,9 @@ def derive_fundamentals(statements: DataFrame, info: DataFrame | None = None) ->
         df = df.withColumns({c: F.coalesce(c, F.when(F.col("_newest"), F.col(f"_{c}"))) for c in values})
         df = df.drop("_newest", *[f"_{c}" for c in values])
     return df.dropna("all", subset=values)
+
+
+def read_constituents(spark, path: str) -> DataFrame:
+    """Constituents file with header; values may hold quoted commas."""
+    schema = "ticker string, company_name string, sector string, fetched_at string"
+    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)

@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def all_queries():
     """All registered queries and their SQL, in inventory order."""
-    from barloom.suite import case, evaluation, news, panel, serving, technical  # noqa: F401
+    from barloom.suite import case, diagnostics, evaluation, learning, news, panel, serving, streams, tables, technical  # noqa: F401
 
     return case.QUERIES, case.SQL
