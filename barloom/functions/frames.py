@@ -1,4 +1,4 @@
-"""Window specifications and guarded window expressions.
+"""Window specifications and window expressions.
 
 All panel windows share one specification, ``partitionBy(ticker).orderBy(date)``. A panel holds at
 most one row per ticker and calendar day, so a window partition is bounded by the calendar and not
@@ -7,13 +7,9 @@ by the size of the data: raw rows of a hot ticker have been aggregated per day b
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-Agg = Callable[[Column], Column]
-
 
 def by_ticker() -> WindowSpec:
     return Window.partitionBy("ticker").orderBy("date")
@@ -31,17 +27,6 @@ def whole(spec: WindowSpec | None = None) -> WindowSpec:
     return (spec or by_ticker()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def trailing(n: int) -> WindowSpec:
-    return by_ticker().rowsBetween(-(n - 1), Window.currentRow)
-
-
-def full(agg: Agg, value: Column | str, n: int) -> Column:
-    """Aggregate of the last ``n`` rows, null until ``n`` non-null values are in the frame."""
-    x = F.col(value) if isinstance(value, str) else value
-    w = trailing(n)
-    return F.when(F.count(x).over(w) == n, agg(x).over(w))
-
-
 def ratio(num: Column, den: Column) -> Column:
     """Division under the null policy: a zero or null divisor gives null."""
     return F.try_divide(num, den)
@@ -74,3 +59,14 @@ def levels(df: DataFrame, *steps: dict[str, Column]) -> DataFrame:
         if step:
             df = df.withColumns(step)
     return df
+
+
+def merged(*features: list[dict[str, Column]]) -> list[dict[str, Column]]:
+    """Level lists of several features, level by level in one list."""
+    steps: list[dict[str, Column]] = []
+    for feature in features:
+        for depth, step in enumerate(feature):
+            if depth == len(steps):
+                steps.append({})
+            steps[depth] = steps[depth] | step
+    return steps

@@ -13,24 +13,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.frames import before_now, by_ticker, change, full, levels, ratio
+from barloom.functions.frames import before_now, by_ticker, change, levels, ratio
+from barloom.functions.rolling import Rolling
 from barloom.session import broadcast_within, calendar_days
 
+STRENGTH_ROWS = 20
+MARKET_EXCESS, SECTOR_EXCESS = Rolling("_excess_market"), Rolling("_excess_sector")
+
 # Two nested look-backs of four scalars each, measured from the schema.
 _CALENDAR_ROW_BYTES = 512
 
 
-def calendar_with_lookback(bars: DataFrame, group: str | None = None) -> DataFrame:
+def day_totals(bars: DataFrame, *keys: str) -> DataFrame:
+    """Sum and count of closes per date (and group), and one ticker of the date."""
+    return bars.groupBy(*keys, "date").agg(
+        F.sum("close").alias("_sum"), F.count("close").alias("_n"), F.min("ticker").alias("_any")
+    )
+
+
+def merged_totals(totals: DataFrame) -> DataFrame:
+    """Totals per date from totals per (group, date); a calendar-sized aggregation."""
+    return totals.groupBy("date").agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"), F.min("_any").alias("_any"))
+
+
+def calendar_with_lookback(days: DataFrame, group: str | None = None) -> DataFrame:
     """One row per (group, date): sum and count of closes, and the two dates to step back to.
 
     ``_near`` is the date before, ``_far`` the date before the run of lone dates that ends there.
     The window runs over aggregated dates, so its partition is bounded by the calendar.
     """
     keys = [group] if group else []
-    source = bars.filter(F.col(group).isNotNull()) if group else bars
-    days = source.groupBy(*keys, "date").agg(
-        F.sum("close").alias("_sum"), F.count("close").alias("_n"), F.min("ticker").alias("_any")
-    )
     days = days.withColumn("_lone", F.when(F.col("_n") == 1, F.col("_any"))).drop("_any")
     w = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy("date")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -50,15 +62,12 @@ def calendar_with_lookback(bars: DataFrame, group: str | None = None) -> DataFra
     return days.select(*keys, "date", "_sum", "_n", "_near", "_far")
 
 
-def attach_calendar(
-    panel: DataFrame, bars: DataFrame, prefix: str, group: str | None = None, max_days: int | None = None, groups: int = 1
-) -> DataFrame:
-    """Join the calendar table to a panel; broadcast when days times groups prove it small."""
-    calendar = calendar_with_lookback(bars, group)
-    days = calendar_days(bars) if max_days is None else max_days
+def attach_calendar(panel: DataFrame, totals: DataFrame, prefix: str, max_rows: int, group: str | None = None) -> DataFrame:
+    """Join the calendar table to a panel; broadcast when ``max_rows`` proves it small."""
+    calendar = calendar_with_lookback(totals, group)
     calendar = calendar.withColumn(prefix, F.struct("_sum", "_n", "_near", "_far")).drop("_sum", "_n", "_near", "_far")
     keys = ([group] if group else []) + ["date"]
-    return panel.join(broadcast_within(calendar, days * groups, _CALENDAR_ROW_BYTES), keys, "left")
+    return panel.join(broadcast_within(calendar, max_rows, _CALENDAR_ROW_BYTES), keys, "left")
 
 
 def others_return_levels(prefix: str, ret: str, ret_lag: str | None) -> list[dict[str, Column]]:
@@ -98,34 +107,36 @@ def _helpers(prefix: str) -> list[str]:
     return [prefix, *[f"{prefix}_{x}" for x in ("own1", "own2", "q1", "q2")]]
 
 
-def relative_strength(ret: str, name: str, n: int = 20) -> dict[str, Column]:
-    """Sum of the return in excess of ``ret`` over the last ``n`` rows, 0 while the frame is partial."""
-    return {name: F.coalesce(full(F.sum, F.col("daily_return") - F.col(ret), n), F.lit(0.0))}
-
-
 def others_return(bars: DataFrame, group: str | None = None, ret: str = "others_return", ret_lag: str | None = None) -> DataFrame:
     """Return of the mean close of all other tickers (of the group), null where it is not defined."""
     groups = bars.select(group).distinct().count() if group else 1
-    df = attach_calendar(bars, bars, "_cal", group, groups=groups)
+    source = bars.filter(F.col(group).isNotNull()) if group else bars
+    totals = day_totals(source, *([group] if group else []))
+    df = attach_calendar(bars, totals, "_cal", calendar_days(bars) * groups, group)
     return levels(df, *others_return_levels("_cal", ret, ret_lag)).drop(*_helpers("_cal"))
 
 
 def attach_context(panel: DataFrame, bars: DataFrame, meta: DataFrame) -> DataFrame:
     """Attach sector, market calendar and sector calendar; the joins come before any window.
 
-    ``bars`` needs ticker, date and close only and is aggregated per date.
+    ``bars`` needs ticker, date and close only. It is aggregated once, per sector and date; the
+    market totals are sums of the sector totals.
     """
     sectors = meta.select("ticker", "sector")
     slim = bars.select("ticker", "date", "close")
     days = calendar_days(slim)
     n_sectors = sectors.select("sector").distinct().count()
     df = panel if "sector" in panel.columns else panel.join(sectors, "ticker", "left")
-    df = attach_calendar(df, slim, "_mkt", max_days=days)
-    return attach_calendar(df, slim.join(sectors, "ticker"), "_sec", "sector", days, n_sectors)
+    totals = day_totals(slim.join(sectors, "ticker", "left"), "sector")
+    df = attach_calendar(df, merged_totals(totals), "_mkt", days)
+    return attach_calendar(df, totals.filter("sector is not null"), "_sec", days * n_sectors, "sector")
 
 
 def context_levels() -> list[dict[str, Column]]:
-    """Levels of the market and sector features; ``daily_return`` must exist before the last one."""
+    """Levels of the market and sector features; ``daily_return`` must exist before the fifth.
+
+    Relative strength is the sum of the returns in excess, 0 while its window is not full.
+    """
     market = others_return_levels("_mkt", "market_return", "market_return_lag_1")
     sector = others_return_levels("_sec", "sector_return", None)
     merged = [a | b for a, b in zip(market, sector)]
@@ -134,21 +145,31 @@ def context_levels() -> list[dict[str, Column]]:
         "market_return_lag_1": F.coalesce("market_return_lag_1", F.lit(0.0)),
         "sector_return": F.coalesce("sector_return", "market_return", F.lit(0.0)),
     }
-    strength = relative_strength("market_return", "relative_strength_20") | relative_strength(
-        "sector_return", "sector_relative_strength_20"
-    )
-    return [*merged, fill, strength]
+    excess = {f"_excess_{x}": F.col("daily_return") - F.col(f"{x}_return") for x in ("market", "sector")}
+    blocks = MARKET_EXCESS.total_blocks() | SECTOR_EXCESS.total_blocks()
+    strength = {
+        "relative_strength_20": F.coalesce(MARKET_EXCESS.total(STRENGTH_ROWS), F.lit(0.0)),
+        "sector_relative_strength_20": F.coalesce(SECTOR_EXCESS.total(STRENGTH_ROWS), F.lit(0.0)),
+    }
+    return [*merged, fill, excess, blocks, strength]
 
 
-CONTEXT_HELPERS = _helpers("_mkt") + _helpers("_sec")
+def market_levels() -> list[dict[str, Column]]:
+    """The context levels with the own return they are compared with."""
+    from barloom.operators.technical import return_exprs
+
+    first, *rest = context_levels()
+    return [first | return_exprs(), *rest]
+
+
+CONTEXT_HELPERS = [
+    *_helpers("_mkt"), *_helpers("_sec"), "_excess_market", "_excess_sector", *MARKET_EXCESS.helpers(), *SECTOR_EXCESS.helpers(),
+]
 
 
 def market_context(bars: DataFrame, meta: DataFrame) -> DataFrame:
     """Market and sector features of a bar panel."""
-    from barloom.operators.technical import return_exprs
-
-    df = attach_context(bars, bars, meta)
-    return levels(df, return_exprs(), *context_levels()).drop(*CONTEXT_HELPERS)
+    return levels(attach_context(bars, bars, meta), *market_levels()).drop(*CONTEXT_HELPERS)
 
 
 def leave_one_out_close(bars: DataFrame, group: str | None = None) -> DataFrame:

@@ -14,8 +14,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.ewm import Smoothing, ewm
-from barloom.functions.frames import by_ticker, change, full, levels, ratio, so_far
+from barloom.functions.ewm import Smoothing, ewm_levels, row_exprs, twice_smoothed
+from barloom.functions.frames import by_ticker, change, levels, merged, ratio, so_far
+from barloom.functions.rolling import Rolling
 
 SMA_WINDOWS = (7, 21, 50)
 RETURN_LAGS = (1, 2, 3, 5, 10)
@@ -26,11 +27,22 @@ def lagged(col: str, k: int = 1) -> Column:
     return F.lag(col, k).over(by_ticker())
 
 
-# ---------------------------------------------------------------- expressions
+# Series with rolling windows.
+CLOSE, VOLUME, TURNOVER = Rolling("close"), Rolling("_volume"), Rolling("_turnover")
+RETURN, RANGE, BALANCE = Rolling("daily_return"), Rolling("_true_range"), Rolling("_obv")
 
+TECHNICAL_HELPERS = [
+    "_volume", "_turnover", "_signed_volume", "_obv", "_true_range", "_obv_mean", "_obv_std",
+    *[h for r in (CLOSE, VOLUME, TURNOVER, RETURN, RANGE, BALANCE) for h in r.helpers()],
+]
 
-def sma_exprs(windows=SMA_WINDOWS) -> dict[str, Column]:
-    return {f"sma_{n}_dist": change(F.col("close"), full(F.avg, "close", n)) for n in windows}
+Levels = list[dict[str, Column]]
+
+# --------------------------------------------------------------------- levels
+
+
+def sma_levels(windows=SMA_WINDOWS) -> Levels:
+    return [CLOSE.total_blocks(), {f"sma_{n}_dist": change(F.col("close"), CLOSE.mean(n)) for n in windows}]
 
 
 def return_exprs() -> dict[str, Column]:
@@ -41,20 +53,35 @@ def lag_exprs(lags=RETURN_LAGS) -> dict[str, Column]:
     return {f"return_lag_{k}": lagged("daily_return", k) for k in lags}
 
 
-def bollinger_exprs(n: int = 20) -> dict[str, Column]:
-    mid, std = full(F.avg, "close", n), full(F.stddev_samp, "close", n)
-    close = F.col("close")
-    return {
+def return_levels(lags=RETURN_LAGS) -> Levels:
+    return [return_exprs(), lag_exprs(lags)]
+
+
+def bollinger_levels(n: int = 20) -> Levels:
+    mid, std, close = CLOSE.mean(n), CLOSE.std(n), F.col("close")
+    bands = {
         "bb_middle_dist": change(close, mid),
         "bb_upper_dist": change(close, mid + std * 2),
         "bb_lower_dist": change(close, mid - std * 2),
     }
+    return [CLOSE.total_blocks() | CLOSE.spread_blocks(), bands]
 
 
-def vwap_exprs(n: int = 14) -> dict[str, Column]:
+def volume_exprs() -> dict[str, Column]:
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
-    vwap = ratio(full(F.sum, typical * F.col("volume"), n), full(F.sum, "volume", n))
-    return {f"vwap_{n}_dist": change(F.col("close"), vwap)}
+    return {"_volume": F.col("volume").cast("double"), "_turnover": typical * F.col("volume")}
+
+
+def vwap_levels(n: int = 14) -> Levels:
+    price = ratio(TURNOVER.total(n), VOLUME.total(n))
+    blocks = TURNOVER.total_blocks() | VOLUME.total_blocks()
+    return [volume_exprs(), blocks, {f"vwap_{n}_dist": change(F.col("close"), price)}]
+
+
+def relative_volume_levels(n: int = 20) -> Levels:
+    mean = VOLUME.mean(n)
+    share = F.col("volume") / F.when(mean == 0, 1.0).otherwise(mean)
+    return [volume_exprs(), VOLUME.total_blocks(), {"relative_volume": share}]
 
 
 def signed_volume_exprs() -> dict[str, Column]:
@@ -62,22 +89,19 @@ def signed_volume_exprs() -> dict[str, Column]:
     return {"_signed_volume": F.coalesce(signed, F.lit(0.0))}
 
 
-def raw_obv_exprs(name: str = "_obv") -> dict[str, Column]:
-    return {name: F.sum("_signed_volume").over(so_far())}
-
-
-def obv_exprs(n: int = 50) -> dict[str, Column]:
-    std = full(F.stddev_samp, "_obv", n)
-    return {"obv": (F.col("_obv") - full(F.avg, "_obv", n)) / F.when(std == 0, 1.0).otherwise(std)}
+def raw_obv_levels(name: str = "_obv") -> Levels:
+    return [signed_volume_exprs(), {name: F.sum("_signed_volume").over(so_far())}]
 
 
-def relative_volume_exprs(n: int = 20) -> dict[str, Column]:
-    mean = full(F.avg, "volume", n)
-    return {"relative_volume": F.col("volume") / F.when(mean == 0, 1.0).otherwise(mean)}
+def obv_levels(n: int = 50) -> Levels:
+    blocks = BALANCE.total_blocks() | BALANCE.spread_blocks()
+    std = F.col("_obv_std")
+    score = (F.col("_obv") - F.col("_obv_mean")) / F.when(std == 0, 1.0).otherwise(std)
+    return [*raw_obv_levels(), blocks, {"_obv_mean": BALANCE.mean(n), "_obv_std": BALANCE.std(n)}, {"obv": score}]
 
 
-def volatility_exprs(windows=VOLATILITY_WINDOWS) -> dict[str, Column]:
-    return {f"return_vol_{n}": full(F.stddev_samp, "daily_return", n) for n in windows}
+def volatility_levels(windows=VOLATILITY_WINDOWS) -> Levels:
+    return [return_exprs(), RETURN.spread_blocks(), {f"return_vol_{n}": RETURN.std(n) for n in windows}]
 
 
 def true_range_exprs() -> dict[str, Column]:
@@ -86,8 +110,8 @@ def true_range_exprs() -> dict[str, Column]:
     return {"_true_range": F.greatest(high - low, F.abs(high - prev), F.abs(low - prev))}
 
 
-def atr_exprs(n: int = 14) -> dict[str, Column]:
-    return {"atr": full(F.avg, "_true_range", n)}
+def atr_levels(n: int = 14) -> Levels:
+    return [true_range_exprs(), RANGE.total_blocks(), {"atr": RANGE.mean(n)}]
 
 
 def weekday_cycle_exprs() -> dict[str, Column]:
@@ -103,57 +127,56 @@ def spread_exprs() -> dict[str, Column]:
     }
 
 
-def latest_change_exprs() -> dict[str, Column]:
-    prev = lagged("close")
-    move = F.col("close") - prev
-    return {"daily_change": move, "daily_change_percent": ratio(move, prev) * 100}
+# ------------------------------------------------------------------ operators
 
 
-# ------------------------------------------------------------------ operators
+def run(bars: DataFrame, *features: Levels) -> DataFrame:
+    """Apply the levels of some features together, without their helper columns."""
+    return levels(bars, *merged(*features)).drop(*TECHNICAL_HELPERS)
 
 
 def sma_distance(bars: DataFrame, windows=SMA_WINDOWS) -> DataFrame:
-    return levels(bars, sma_exprs(windows))
+    return run(bars, sma_levels(windows))
 
 
 def daily_returns(bars: DataFrame, lags=RETURN_LAGS) -> DataFrame:
-    return levels(bars, return_exprs(), lag_exprs(lags))
+    return run(bars, return_levels(lags))
 
 
 def bollinger(bars: DataFrame, n: int = 20) -> DataFrame:
-    return levels(bars, bollinger_exprs(n))
+    return run(bars, bollinger_levels(n))
 
 
 def vwap(bars: DataFrame, n: int = 14) -> DataFrame:
-    return levels(bars, vwap_exprs(n))
+    return run(bars, vwap_levels(n))
 
 
 def raw_obv(bars: DataFrame) -> DataFrame:
-    return levels(bars, signed_volume_exprs(), raw_obv_exprs("obv")).drop("_signed_volume")
+    return run(bars, raw_obv_levels("obv"))
 
 
 def obv(bars: DataFrame, n: int = 50) -> DataFrame:
-    return levels(bars, signed_volume_exprs(), raw_obv_exprs(), obv_exprs(n)).drop("_signed_volume", "_obv")
+    return run(bars, obv_levels(n))
 
 
 def relative_volume(bars: DataFrame, n: int = 20) -> DataFrame:
-    return levels(bars, relative_volume_exprs(n))
+    return run(bars, relative_volume_levels(n))
 
 
 def realized_volatility(bars: DataFrame, windows=VOLATILITY_WINDOWS) -> DataFrame:
-    return levels(bars, return_exprs(), volatility_exprs(windows))
+    return run(bars, volatility_levels(windows))
 
 
 def atr(bars: DataFrame, n: int = 14) -> DataFrame:
-    return levels(bars, true_range_exprs(), atr_exprs(n)).drop("_true_range")
+    return run(bars, atr_levels(n))
 
 
 def weekday_cycle(bars: DataFrame) -> DataFrame:
-    return levels(bars, weekday_cycle_exprs())
+    return run(bars, [weekday_cycle_exprs()])
 
 
 def spread(bars: DataFrame) -> DataFrame:
-    return levels(bars, spread_exprs())
+    return run(bars, [spread_exprs()])
 
 
 def move_exprs() -> dict[str, Column]:
@@ -164,32 +187,25 @@ def move_exprs() -> dict[str, Column]:
     }
 
 
-def smoothed(bars: DataFrame, rsi_window: int = 14, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """RSI and MACD together: one set of doubling levels for the four averages, one for the signal."""
-    wilder = 1.0 / rsi_window
-    df = levels(bars, move_exprs())
-    df = ewm(
-        df,
-        {
-            "_up": Smoothing("_gain", wilder, rsi_window),
-            "_down": Smoothing("_loss", wilder, rsi_window),
-            "_fast": Smoothing.span("close", fast),
-            "_slow": Smoothing.span("close", slow),
-        },
-    )
-    df = df.withColumns({f"rsi_{rsi_window}": _rsi(), "macd": F.col("_fast") - F.col("_slow")})
-    df = ewm(df, {"macd_signal": Smoothing.span("macd", signal)})
-    df = df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
-    return df.drop("_gain", "_loss", "_up", "_down", "_fast", "_slow")
+SMOOTHING_HELPERS = ["_row", "_gain", "_loss", "_up", "_down", "_fast", "_slow", "_short"]
 
 
-def rsi(bars: DataFrame, window: int = 14) -> DataFrame:
+def rsi_levels(window: int = 14) -> list[dict[str, Column]]:
     wilder = 1.0 / window
-    df = ewm(
-        levels(bars, move_exprs()),
-        {"_up": Smoothing("_gain", wilder, window), "_down": Smoothing("_loss", wilder, window)},
+    averages = {"_up": Smoothing("_gain", wilder, window), "_down": Smoothing("_loss", wilder, window)}
+    return [move_exprs() | row_exprs(), *ewm_levels(averages), {f"rsi_{window}": _rsi()}]
+
+
+def macd_levels(fast: int = 12, slow: int = 26, signal: int = 9) -> list[dict[str, Column]]:
+    """The signal smooths the difference of two smoothed series; it follows from three single ones."""
+    averages = {"_fast": Smoothing.span("close", fast), "_slow": Smoothing.span("close", slow), "_short": Smoothing.span("close", signal)}
+    quick, long, short = (s.decay for s in averages.values())
+    line = F.col("_fast") - F.col("_slow")
+    smooth = twice_smoothed(F.col("_fast"), F.col("_short"), quick, short) - twice_smoothed(
+        F.col("_slow"), F.col("_short"), long, short
     )
-    return df.withColumn(f"rsi_{window}", _rsi()).drop("_gain", "_loss", "_up", "_down")
+    last = {"macd": line, "macd_signal": smooth, "macd_hist": line - smooth}
+    return [row_exprs(), *ewm_levels(averages), last]
 
 
 def _rsi() -> Column:
@@ -198,30 +214,34 @@ def _rsi() -> Column:
     return F.when((down == 0) & (up > 0), 100.0).otherwise(100 - 100 / (1 + ratio(up, down)))
 
 
+def rsi(bars: DataFrame, window: int = 14) -> DataFrame:
+    return levels(bars, *rsi_levels(window)).drop(*SMOOTHING_HELPERS)
+
+
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    df = ewm(bars, {"_fast": Smoothing.span("close", fast), "_slow": Smoothing.span("close", slow)})
-    df = df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-    df = ewm(df, {"macd_signal": Smoothing.span("macd", signal)})
-    return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+    return levels(bars, *macd_levels(fast, slow, signal)).drop(*SMOOTHING_HELPERS)
+
+
+def technical_levels() -> Levels:
+    """All technical features, as few levels deep as the deepest of them."""
+    return merged(
+        sma_levels(),
+        return_levels(),
+        bollinger_levels(),
+        vwap_levels(),
+        obv_levels(),
+        relative_volume_levels(),
+        volatility_levels(),
+        atr_levels(),
+        [weekday_cycle_exprs() | spread_exprs()],
+        rsi_levels(),
+        macd_levels(),
+    )
 
 
 def technical_features(bars: DataFrame) -> DataFrame:
     """All technical features with one exchange by ticker."""
-    df = smoothed(bars)
-    return levels(
-        df,
-        sma_exprs()
-        | return_exprs()
-        | bollinger_exprs()
-        | vwap_exprs()
-        | signed_volume_exprs()
-        | relative_volume_exprs()
-        | true_range_exprs()
-        | weekday_cycle_exprs()
-        | spread_exprs(),
-        lag_exprs() | volatility_exprs() | atr_exprs() | raw_obv_exprs(),
-        obv_exprs(),
-    ).drop("_signed_volume", "_obv", "_true_range")
+    return levels(bars, *technical_levels()).drop(*TECHNICAL_HELPERS, *SMOOTHING_HELPERS)
 
 
 # ------------------------------------------------------- latest rows and ranges

@@ -23,6 +23,10 @@ RUNTIME_CONF = {
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 
+#: Folder of each local application whose session names none; the setting is read-only at run time.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
     builder = (
@@ -58,10 +62,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="barloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="barloom-")
+    return _LOCAL_FOLDERS[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

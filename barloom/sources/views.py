@@ -15,6 +15,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.session import settle
+
 #: Sector names of the regions; two of them pass the energy gate.
 SECTOR_OF_REGION = {"AFRICA": "Oil & Gas Exploration", "ASIA": "Power Generation & Distribution"}
 
@@ -56,6 +58,15 @@ class Views:
         lines = self.table("lineitem").withColumn("ticker", F.concat(F.lit("S"), F.col("l_suppkey")))
         return self._bars(lines)
 
+    @cached_property
+    def stored_bars(self) -> DataFrame:
+        """The bars as a stored base table, for jobs that read them more than once."""
+        return settle(self.bars, "bars")
+
+    @cached_property
+    def stored_macro(self) -> DataFrame:
+        return settle(self.macro, "macro")
+
     @property
     def bars_dense(self) -> DataFrame:
         part = self.table("part").select("p_partkey", F.col("p_type").alias("ticker"))

@@ -19,13 +19,9 @@ _PANEL = f"""
 
 
 def panel(v: Views):
-    from barloom.functions.frames import levels
-
-    return levels(
-        v.bars,
-        t.return_exprs() | t.relative_volume_exprs() | t.bollinger_exprs() | t.weekday_cycle_exprs(),
-        t.volatility_exprs((20,)),
-    ).select("ticker", "date", *COLUMNS)
+    features = t.relative_volume_levels(), t.bollinger_levels(), [t.weekday_cycle_exprs()], t.volatility_levels((20,))
+    df = t.run(v.bars, *features)
+    return df.select("ticker", "date", *COLUMNS)
 
 
 def _describe(c: str) -> str:

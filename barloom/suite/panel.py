@@ -43,7 +43,7 @@ ctx2 AS (SELECT *, coalesce({full('sum', '(daily_return - market_return)', 20)},
     ),
 )
 def w11(v: Views):
-    return rounded(context.market_context(v.bars, v.meta), 6, "market_return", "market_return_lag_1")
+    return rounded(context.market_context(v.stored_bars, v.meta), 6, "market_return", "market_return_lag_1")
 
 
 @case(
@@ -51,7 +51,7 @@ def w11(v: Views):
     with_views(_MARKET + "SELECT ticker, date, round(relative_strength_20, 6) AS relative_strength_20 FROM ctx2", "returns", "meta"),
 )
 def w12(v: Views):
-    return rounded(context.market_context(v.bars, v.meta), 6, "relative_strength_20")
+    return rounded(context.market_context(v.stored_bars, v.meta), 6, "relative_strength_20")
 
 
 @case(
@@ -65,7 +65,7 @@ def w12(v: Views):
     ),
 )
 def w13(v: Views):
-    return rounded(context.market_context(v.bars, v.meta), 6, "sector_return", "sector_relative_strength_20")
+    return rounded(context.market_context(v.stored_bars, v.meta), 6, "sector_return", "sector_relative_strength_20")
 
 
 @case(
@@ -118,7 +118,7 @@ def a03(v: Views):
     ),
 )
 def j05(v: Views):
-    return rounded(context.others_return(v.bars), 6, "others_return", keys=("ticker", "date", "close"))
+    return rounded(context.others_return(v.stored_bars), 6, "others_return", keys=("ticker", "date", "close"))
 
 
 @case(
@@ -126,7 +126,7 @@ def j05(v: Views):
     with_views(_MARKET + "SELECT ticker, date, round(sector_return, 6) AS sector_return FROM ctx", "returns", "meta"),
 )
 def j06(v: Views):
-    df = context.market_context(v.bars, v.meta)
+    df = context.market_context(v.stored_bars, v.meta)
     return rounded(df, 6, "sector_return")
 
 
@@ -256,7 +256,7 @@ def w17(v: Views):
     with_views(_MACRO + "SELECT ticker, date, sbp_policy_rate, days_since_rate_change FROM mac", "bars", "macro", "meta"),
 )
 def w18(v: Views):
-    return enrich.macro_features(v.bars, v.macro, v.meta).select("ticker", "date", "sbp_policy_rate", "days_since_rate_change")
+    return enrich.macro_features(v.bars, v.stored_macro, v.meta).select("ticker", "date", "sbp_policy_rate", "days_since_rate_change")
 
 
 @case(
@@ -269,7 +269,7 @@ def w18(v: Views):
     ),
 )
 def w19(v: Views):
-    return enrich.macro_features(v.bars, v.macro, v.meta).select("ticker", "date", "us10y_yield", *_CHANGES)
+    return enrich.macro_features(v.bars, v.stored_macro, v.meta).select("ticker", "date", "us10y_yield", *_CHANGES)
 
 
 @case("j01_sentiment_join", with_views(_SENTIMENT + "SELECT ticker, date, s AS score FROM sen0", "bars", "daily_sentiment"))
@@ -335,7 +335,7 @@ def j03_asof(v: Views):
     ),
 )
 def j04(v: Views):
-    df = enrich.attach_macro(v.bars, v.macro)
+    df = enrich.attach_macro(v.bars, v.stored_macro)
     return df.select(
         "ticker", "date", F.col("_sbp_policy_rate").alias("policy"), *[F.col(f"_{c}").alias(c) for c in _CHANGES]
     )
@@ -351,7 +351,7 @@ def j10(v: Views):
 
 @case("f05_energy_gate", with_views(_MACRO + "SELECT ticker, date, oil_return_pct FROM mac", "bars", "macro", "meta"))
 def f05(v: Views):
-    return enrich.macro_features(v.bars, v.macro, v.meta).select("ticker", "date", "oil_return_pct")
+    return enrich.macro_features(v.bars, v.stored_macro, v.meta).select("ticker", "date", "oil_return_pct")
 
 
 @case(
@@ -429,7 +429,7 @@ def _not_null(require_pe: bool) -> str:
 
 
 def tables(v: Views):
-    return v.bars, v.meta, v.daily_sentiment, v.dividends, v.fundamentals, v.macro
+    return v.stored_bars, v.meta, v.daily_sentiment, v.dividends, v.fundamentals, v.stored_macro
 
 
 def _shown(df):
