@@ -499,6 +499,73 @@ def m10(v: Views):
     return df.join(known, "run_id", "left_semi").select("metric", F.round("value", 4).alias("value"))
 
 
+def registered(v: Views):
+    from barloom.session import fresh_path
+
+    registry = rg.Registry(v.spark, fresh_path(v.spark, "registry"))
+    registry.register("rf", "baseline", "v2", ["S1"], results(v).select("ticker", *rg.NUMERIC), trained_at="2024-01-03")
+    registry.register("lr", "ridge", "v2", ["S1"], results(v, "lr_return").select("ticker", *rg.NUMERIC), trained_at="2024-01-01")
+    return registry
+
+
+@case(
+    "s20_register_runs",
+    with_views(
+        _SUMMARY
+        + """SELECT run_id, ticker, round(value, 4) AS value FROM summ WHERE run_id IN ('rf', 'lr') AND metric = 'mape_mean'""",
+        "predictions",
+    ),
+)
+def s20(v: Views):
+    df = registered(v).summary().filter("metric = 'mape_mean'")
+    return df.select("run_id", "ticker", F.round("value", 4).alias("value"))
+
+
+@case(
+    "s21_registry_scan",
+    with_views(
+        _RUNS
+        + _RUN_ROWS
+        + """SELECT run_id, model_type, count(*) AS results FROM runs JOIN runs_res USING (run_id) WHERE run_id IN ('rf', 'lr') GROUP BY 1, 2""",
+        "predictions",
+    ),
+)
+def s21(v: Views):
+    registry = registered(v)
+    return registry.runs().join(registry.results(), "run_id").groupBy("run_id", "model_type").agg(F.count("*").alias("results"))
+
+
+# The labels and the ends of the scaled sequences, which SQL can state.
+@case(
+    "m13_sequence_labels",
+    with_views(
+        _TARGET
+        + _CUTOFF
+        + f""", p AS (SELECT s.*, CASE WHEN date <= cutoff THEN 'train' ELSE 'test' END AS split FROM scored s, cut),
+rng AS (SELECT min(rf_return) AS a, max(rf_return) AS b, min(y) AS c, max(y) AS d FROM p WHERE split = 'train'),
+sc AS (SELECT ticker, date, split, (rf_return - a) / (b - a) AS x, (y - c) / (d - c) AS label FROM p, rng)
+SELECT ticker, date, f AS sequence_start, n AS size, round(x, 8) AS newest, round(x0, 8) AS oldest, round(label, 8) AS label, split FROM (
+  SELECT *, count(*) OVER k AS n, min(date) OVER k AS f, first_value(x) OVER k AS x0, lead(date) OVER (PARTITION BY ticker, split ORDER BY date) AS nxt
+  FROM sc WINDOW k AS (PARTITION BY ticker, split ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) WHERE n = 30 AND nxt IS NOT NULL""",
+        "predictions",
+    ),
+)
+def m13_labels(v: Views):
+    panel = ev.split_by_cutoff(scored(v), cutoff(v))
+    df = ev.sequence_dataset(panel, v.meta, ["rf_return"], 30)
+    seq = F.col("sequence")
+    return df.select(
+        "ticker",
+        "date",
+        "sequence_start",
+        F.size(seq).cast("long").alias("size"),
+        F.round(seq[29][0], 8).alias("newest"),
+        F.round(seq[0][0], 8).alias("oldest"),
+        F.round("label", 8).alias("label"),
+        F.when(F.col("part") == "test", "test").otherwise("train").alias("split"),
+    )
+
+
 # ------------------------------------------------------ sequences and scaling
 
 
