@@ -36,6 +36,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.showConsoleProgress", "false")
+        # Each window frame is a generated class of its own; a wide build has more than the default cache holds.
+        .config("spark.sql.codegen.cache.maxEntries", "10000")
         # Call sites of single column expressions cost more than the plans of wide feature sets.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

@@ -618,7 +618,7 @@ def w23(v: Views):
     with_views(
         _CUTOFF
         + """, rng AS (SELECT min(close) AS lo, max(close) AS hi, min(volume) AS vlo, max(volume) AS vhi FROM bars, cut WHERE date <= cutoff)
-             SELECT ticker, date, (close - lo) / (hi - lo) AS close, (volume - vlo) / CAST(vhi - vlo AS DOUBLE) AS volume, 0.0 AS flat
+             SELECT ticker, date, (close - lo) / (hi - lo) AS close, (volume - vlo) / CAST(vhi - vlo AS DOUBLE) AS volume, 0.0::DOUBLE AS flat
              FROM bars, rng""",
         "bars",
     ),

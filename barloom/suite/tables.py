@@ -142,7 +142,7 @@ def s23(v: Views):
 @case(
     "s18_macro_assembly",
     with_views(
-        """SELECT date, pkr_usd_rate, brent_oil_price, sp500_close, nasdaq_close, dxy_close, us10y_yield, 22.0 AS sbp_policy_rate,
+        """SELECT date, pkr_usd_rate, brent_oil_price, sp500_close, nasdaq_close, dxy_close, us10y_yield, 22.0::DOUBLE AS sbp_policy_rate,
            is_synthetic_rate FROM macro""",
         "macro",
     ),
@@ -178,7 +178,7 @@ items AS (SELECT ticker, report_date,
   CASE WHEN n % 7 <> 0 THEN s END AS income, CASE WHEN n % 2 = 0 THEN s * 0.9 WHEN n % 5 = 0 THEN 0e0 END AS income_common,
   CASE WHEN n % 4 <> 1 THEN n * 1e5 ELSE 0e0 END AS average_shares, CASE WHEN n % 5 <> 0 THEN n * 1.1e5 ELSE 0e0 END AS ordinary_shares,
   CASE WHEN n % 3 <> 2 THEN hi * 2 - 3e7 END AS equity, hi AS common_equity, CASE WHEN n % 6 <> 0 THEN lo END AS debt FROM qtr)"""
-_INFO = """, info AS (SELECT ticker, CAST(length(company_name) AS DOUBLE) AS eps, 12.5 AS pe_ratio, NULL::DOUBLE AS roe, 0.5 AS debt_to_equity,
+_INFO = """, info AS (SELECT ticker, CAST(length(company_name) AS DOUBLE) AS eps, 12.5::DOUBLE AS pe_ratio, NULL::DOUBLE AS roe, 0.5::DOUBLE AS debt_to_equity,
              NULL::DOUBLE AS book_value_per_share FROM meta)"""
 
 
