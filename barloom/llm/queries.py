@@ -17,6 +17,15 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    from barloom.llm.packing import pack
+
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Eight contiguous shards of equal bytes."""
     from barloom.llm.sharding import shard_by_bytes
@@ -24,5 +33,5 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_by_bytes(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_sharding)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_packing, op4_sharding)}
 SQL: dict[str, str] = {}
