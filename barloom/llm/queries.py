@@ -8,6 +8,46 @@ from pyspark.sql import functions as F
 from barloom.llm.common import table
 
 
+def op1_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated multi-line chunks taken out of all documents."""
+    from barloom.llm.linechunks import drop_repeated_chunks
+
+    docs = drop_repeated_chunks(table(spark, folder, "documents").select("doc_id", "text"))
+    return docs.select(
+        "doc_id",
+        F.col("_chunks").cast("long").alias("n_chunks"),
+        F.size("_dropped").cast("long").alias("n_dropped"),
+        F.concat_ws(",", F.col("_dropped").cast("array<string>")).alias("dropped"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+#: The chunking of :mod:`linechunks` for window 2 and divisor 3 in DuckDB.
+OP1_SQL = """
+WITH lines AS (
+  SELECT doc_id, coalesce(text, '') AS body, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), hashed AS (
+  SELECT doc_id, body, lines, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT) AS h FROM lines
+), marked AS (
+  SELECT *, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines)
+    OR (i > 1 AND ((h[i - 1] * 1000003) + h[i]) % 2147483647 % 3 = 0)) AS ends FROM hashed
+), pieces AS (
+  SELECT doc_id, body, len(ends) AS n_chunks, unnest(range(0, len(ends))) AS place,
+    unnest(list_transform(range(1, len(ends) + 1), lambda k: lines[(CASE WHEN k = 1 THEN 0 ELSE ends[k - 1] END) + 1 : ends[k]])) AS part
+  FROM marked
+), ranked AS (
+  SELECT doc_id, body, n_chunks, place, array_to_string(part, chr(10)) AS chunk, len(part) > 1
+      AND regexp_matches(array_to_string(part, chr(10)), '[^\x20\x09-\x0D]') AS eligible FROM pieces
+), judged AS (
+  SELECT *, eligible AND row_number() OVER (PARTITION BY eligible, chunk ORDER BY doc_id, place) > 1 AS gone FROM ranked
+)
+SELECT doc_id, any_value(n_chunks)::BIGINT AS n_chunks, count(*) FILTER (gone)::BIGINT AS n_dropped,
+  coalesce(string_agg(place::VARCHAR, ',' ORDER BY place) FILTER (gone), '') AS dropped,
+  sha256(coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate components of all documents at four differing bits."""
     from barloom.llm.simhash import simhash_groups
@@ -33,5 +73,5 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_by_bytes(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_packing, op4_sharding)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_line_chunks, op2_simhash, op3_packing, op4_sharding)}
+SQL: dict[str, str] = {"op1_line_chunks": OP1_SQL}
