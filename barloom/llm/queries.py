@@ -73,5 +73,76 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_by_bytes(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_chunks, op2_simhash, op3_packing, op4_sharding)}
-SQL: dict[str, str] = {"op1_line_chunks": OP1_SQL}
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in all documents, by rules and by bootstrapped contexts."""
+    from barloom.llm.pii import KINDS, find_personal_data, written
+
+    found = find_personal_data(table(spark, folder, "documents"))
+    counts = [
+        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)
+    ]
+    return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with their calibrated sampling rate and whether they are drawn."""
+    from barloom.llm.mixing import described, mixed_described
+    from barloom.session import settle
+
+    slim = described(table(spark, folder, "documents")).select("doc_id", "source", "lang", "topic", "tokens")
+    # Texts are read once; the mix needs only what is derived from them.
+    docs = mixed_described(settle(slim, "described"))
+    places = {c: F.round(c, 6).alias(c) for c in ("weight", "probability")}
+    return docs.select("doc_id", "source", "lang", "topic", "tokens", *places.values(), "kept")
+
+
+def _op9_sql() -> str:
+    """Raking unrolled: one common table per margin and round."""
+    from barloom.llm.mixing import ROUNDS, TOPIC_SHARES
+
+    total = sum(TOPIC_SHARES.values())
+    assert abs(total - 1) < 1e-9
+    topics = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in TOPIC_SHARES.items())
+    steps, last, k = [], "c0", 0
+    for _ in range(ROUNDS):
+        for m in ("source", "lang", "topic"):
+            k += 1
+            steps.append(
+                f"c{k} AS MATERIALIZED (SELECT * REPLACE (w * s_{m} / sum(w) OVER (PARTITION BY {m}) AS w) FROM {last})"
+            )
+            last = f"c{k}"
+    return f"""
+WITH d AS (
+  SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents
+), named AS (
+  SELECT doc_id, source, lang, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::BIGINT AS tokens,
+    CASE WHEN contains(t, ' | ') THEN 'table'
+      WHEN contains(t, '%%%') OR contains(t, '$$$') OR contains(t, '###') OR contains(t, '&&&') THEN 'symbols'
+      WHEN contains(t, '@') THEN 'contact' WHEN contains(t, 'icens') THEN 'licence'
+      WHEN NOT regexp_matches(t, '[a-z]') AND regexp_matches(t, '[A-Z]') THEN 'capitals' ELSE 'prose' END AS topic
+  FROM d
+), cells AS (
+  SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM named GROUP BY ALL HAVING sum(tokens) > 0
+), src AS (SELECT source, pow(sum(tokens)::DOUBLE, 0.5) AS s FROM cells GROUP BY source),
+lng AS (SELECT lang, pow(sum(tokens)::DOUBLE, 0.5) AS s FROM cells GROUP BY lang),
+tpc AS (SELECT topic, CASE topic {topics} END AS s FROM cells GROUP BY topic),
+c0 AS MATERIALIZED (
+  SELECT c.*, c.tokens::DOUBLE AS w, src.s / (SELECT sum(s) FROM src) AS s_source,
+    lng.s / (SELECT sum(s) FROM lng) AS s_lang, tpc.s / (SELECT sum(s) FROM tpc) AS s_topic
+  FROM cells c JOIN src ON src.source IS NOT DISTINCT FROM c.source
+    JOIN lng ON lng.lang IS NOT DISTINCT FROM c.lang JOIN tpc ON tpc.topic = c.topic
+), {", ".join(steps)}, rated AS (
+  SELECT n.*, coalesce(c.w * (SELECT sum(tokens)::DOUBLE FROM cells) / c.tokens, 1) AS weight,
+    ('0x' || substr(md5('9:' || n.doc_id), 1, 7))::BIGINT / 268435456.0 AS u, c.tokens IS NULL AS none
+  FROM named n LEFT JOIN {last} c ON n.source IS NOT DISTINCT FROM c.source
+    AND n.lang IS NOT DISTINCT FROM c.lang AND n.topic = c.topic
+)
+SELECT doc_id, source, lang, topic, tokens, round(weight, 6) AS weight,
+  round(CASE WHEN none THEN 1 ELSE least(1.0, weight * 0.7) END, 6) AS probability,
+  u < CASE WHEN none THEN 1 ELSE least(1.0, weight * 0.7) END AS kept
+FROM rated
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_line_chunks, op2_simhash, op3_packing, op4_sharding, op5_personal_data, op9_mixing)}
+SQL: dict[str, str] = {"op1_line_chunks": OP1_SQL, "op9_mixing": _op9_sql()}
