@@ -85,6 +85,13 @@ def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+def op7_projections(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate components of all embeddings at a cosine of 0.95."""
+    from barloom.llm.projections import near_vectors
+
+    return near_vectors(table(spark, folder, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents with their calibrated sampling rate and whether they are drawn."""
     from barloom.llm.mixing import described, mixed_described
@@ -145,5 +152,5 @@ FROM rated
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_line_chunks, op2_simhash, op3_packing, op4_sharding, op5_personal_data, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_line_chunks, op2_simhash, op3_packing, op4_sharding, op5_personal_data, op7_projections, op9_mixing)}
 SQL: dict[str, str] = {"op1_line_chunks": OP1_SQL, "op9_mixing": _op9_sql()}
