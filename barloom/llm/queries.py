@@ -152,5 +152,12 @@ FROM rated
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_line_chunks, op2_simhash, op3_packing, op4_sharding, op5_personal_data, op7_projections, op9_mixing)}
+def op10_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations in reply order without quotes."""
+    from barloom.llm.quotes import reply_order
+
+    return reply_order(table(spark, folder, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_chunks, op2_simhash, op3_packing, op4_sharding, op5_personal_data, op7_projections, op9_mixing, op10_quotes)}
 SQL: dict[str, str] = {"op1_line_chunks": OP1_SQL, "op9_mixing": _op9_sql()}
