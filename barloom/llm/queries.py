@@ -92,6 +92,13 @@ def op7_projections(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"))
 
 
+def op8_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without strings of 100 bytes that start earlier."""
+    from barloom.llm.suffixes import repeated_spans
+
+    return repeated_spans(table(spark, folder, "documents"))
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents with their calibrated sampling rate and whether they are drawn."""
     from barloom.llm.mixing import described, mixed_described
@@ -159,5 +166,5 @@ def op10_quotes(spark: SparkSession, folder: str) -> DataFrame:
     return reply_order(table(spark, folder, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_chunks, op2_simhash, op3_packing, op4_sharding, op5_personal_data, op7_projections, op9_mixing, op10_quotes)}
+QUERIES = {f.__name__: f for f in (op1_line_chunks, op2_simhash, op3_packing, op4_sharding, op5_personal_data, op7_projections, op8_suffixes, op9_mixing, op10_quotes)}
 SQL: dict[str, str] = {"op1_line_chunks": OP1_SQL, "op9_mixing": _op9_sql()}
