@@ -85,6 +85,13 @@ def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+def op6_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    """Base rules and perplexity bands over all documents."""
+    from barloom.llm.perplexity import judged
+
+    return judged(table(spark, folder, "documents"))
+
+
 def op7_projections(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate components of all embeddings at a cosine of 0.95."""
     from barloom.llm.projections import near_vectors
@@ -166,5 +173,5 @@ def op10_quotes(spark: SparkSession, folder: str) -> DataFrame:
     return reply_order(table(spark, folder, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_chunks, op2_simhash, op3_packing, op4_sharding, op5_personal_data, op7_projections, op8_suffixes, op9_mixing, op10_quotes)}
+QUERIES = {f.__name__: f for f in (op1_line_chunks, op2_simhash, op3_packing, op4_sharding, op5_personal_data, op6_perplexity, op7_projections, op8_suffixes, op9_mixing, op10_quotes)}
 SQL: dict[str, str] = {"op1_line_chunks": OP1_SQL, "op9_mixing": _op9_sql()}
