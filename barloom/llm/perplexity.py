@@ -23,8 +23,9 @@ ORDER = 5
 #: Fixed by the rules: symbols, and the limits of the base verdict.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 50, 50
-#: Half-width of a band in robust standard deviations of bits per byte, and at least so many bits.
-BAND, LEAST_BAND = 6.0, 0.3
+#: Width of a band below and above the median in robust standard deviations of bits per byte, and at least
+#: so many bits each way. Short texts scatter further down than up, as common phrases weigh more in them.
+BELOW, ABOVE, LEAST_BAND = 12.0, 6.0, 0.15
 _SLAB = 2_000_000
 _BLANK = [9, 10, 11, 12, 13, 32]
 
@@ -311,7 +312,8 @@ def _sorted_grams(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def judged(
     docs: DataFrame,
-    band: float = BAND,
+    below: float = BELOW,
+    above: float = ABOVE,
     least: float = LEAST_BAND,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -320,9 +322,9 @@ def judged(
 ) -> DataFrame:
     """One row per row of ``docs``: id, language, base counts, ``base_failed``, ``perplexity``, band and ``kept``.
 
-    A language's band is the median of bits per byte of its texts that pass the base rules, plus and minus
-    ``band`` robust standard deviations (1.4826 times the median deviation), at least ``least`` bits each
-    way; both ends belong to it. All counts and statistics cover all rows; a language without a passing
+    A language's band goes from the median of bits per byte of its texts that pass the base rules ``below``
+    and ``above`` robust standard deviations (1.4826 times the median deviation) down and up, at least
+    ``least`` bits; both ends belong to it. All counts and statistics cover all rows; a language without a passing
     text has no band. Null languages are one language of their own, a null text has no words and fails the
     base rules, repeated rows count as often as they come, an empty table gives no rows, other columns are
     ignored.
@@ -331,8 +333,8 @@ def judged(
     good = rows.filter("not base_failed")
     middle = good.groupBy("lang").agg(F.percentile_approx("bits", 0.5, 100_000).alias("middle"))
     off = good.join(middle, "lang").groupBy("lang", "middle").agg(F.percentile_approx(F.abs(F.col("bits") - F.col("middle")), 0.5, 100_000).alias("off"))
-    half = F.greatest(F.col("off") * 1.4826 * band, F.lit(float(least)))
-    bands = off.select("lang", (F.col("middle") - half).alias("low"), (F.col("middle") + half).alias("high"))
+    half = lambda wide: F.greatest(F.col("off") * 1.4826 * wide, F.lit(float(least)))
+    bands = off.select("lang", (F.col("middle") - half(below)).alias("low"), (F.col("middle") + half(above)).alias("high"))
     out = rows.join(bands, "lang", "left")
     inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(True))
     return out.select(
