@@ -192,13 +192,13 @@ def _buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int | None = None) -> DataFrame:
-    """``id, row, lang``, the base counts, ``base_failed`` and ``bits`` (per byte, null for an empty text)."""
+    """``id, tie`` (the text's hash), ``lang``, the base counts, ``base_failed`` and ``bits`` (per byte, null for an empty text)."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = text_of(text_col)
     lang = F.coalesce(F.concat(F.lit("+"), F.col(lang_col).cast("string")), F.lit("-"))
-    dealt = docs.select(F.col(id_col).cast("long").alias("id"), lang.alias("lang"), text.alias("body"))
-    dealt = dealt.withColumn("part", F.expr(f"cast(pmod(xxhash64(id, body), {parts}) as int)"))
+    dealt = docs.select(F.col(id_col).cast("long").alias("id"), lang.alias("lang"), text.alias("body"), F.xxhash64(text).alias("tie"))
+    dealt = dealt.withColumn("part", F.expr(f"cast(pmod(xxhash64(id, tie), {parts}) as int)"))
 
     def by_lang(t: pa.Table) -> dict[str, np.ndarray]:
         langs = np.array(t.column("lang").to_pylist(), dtype=object)
@@ -264,7 +264,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         ]
         return _table(rows, reply_schema)
 
-    kinds = [("id", pa.int64()), ("lang", pa.string()), *((c, pa.int64()) for c in _BASE), ("base_failed", pa.bool_()), ("bits", pa.float64())]
+    kinds = [("id", pa.int64()), ("tie", pa.int64()), ("lang", pa.string()), *((c, pa.int64()) for c in _BASE), ("base_failed", pa.bool_()), ("bits", pa.float64())]
     score_schema = pa.schema(kinds)
 
     def score(_: tuple, t: pa.Table, replies: pa.Table) -> pa.Table:
@@ -288,8 +288,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
                 sums = np.bincount(owner, weights=cost[np.searchsorted(keys, distinct)][inverse], minlength=len(part))
                 total[at[first : first + len(part)]] = sums
         mean = [s / len(b) if b else None for s, b in zip(total.tolist(), raw, strict=True)]
-        counts = list(zip(*map(base_counts, every), strict=True))
-        columns = [t.column("id"), t.column("lang"), *counts, mean]
+        counts = list(zip(*map(base_counts, every), strict=True)) or [()] * 6
+        columns = [t.column("id"), t.column("tie"), t.column("lang"), *counts, mean]
         return pa.Table.from_arrays([c if isinstance(c, pa.ChunkedArray) else pa.array(c, f.type) for c, f in zip(columns, score_schema, strict=True)], schema=score_schema)
 
     asked = dealt.groupBy("part").applyInArrow(ask, _spark(_ASK))
@@ -329,14 +329,7 @@ def judged(
     base rules, repeated rows count as often as they come, an empty table gives no rows, other columns are
     ignored.
     """
-    rows = settle(scored(docs, id_col, text_col, lang_col, parts), "quality")
-    good = rows.filter("not base_failed")
-    middle = good.groupBy("lang").agg(F.percentile_approx("bits", 0.5, 100_000).alias("middle"))
-    off = good.join(middle, "lang").groupBy("lang", "middle").agg(F.percentile_approx(F.abs(F.col("bits") - F.col("middle")), 0.5, 100_000).alias("off"))
-    half = lambda wide: F.greatest(F.col("off") * 1.4826 * wide, F.lit(float(least)))
-    bands = off.select("lang", (F.col("middle") - half(below)).alias("low"), (F.col("middle") + half(above)).alias("high"))
-    out = rows.join(bands, "lang", "left")
-    inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(True))
+    out = verdicts(docs, below, above, id_col, text_col, lang_col, parts, least)
     return out.select(
         F.col("id").alias(id_col),
         F.when(F.col("lang") != "-", F.expr("substring(lang, 2)")).alias(lang_col),
@@ -345,5 +338,29 @@ def judged(
         F.pow(F.lit(2.0), "bits").alias("perplexity"),
         F.pow(F.lit(2.0), "low").alias("lower"),
         F.pow(F.lit(2.0), "high").alias("upper"),
-        (~F.col("base_failed") & inside).alias("kept"),
+        "kept",
     )
+
+
+def verdicts(docs: DataFrame, below: float, above: float, id_col: str, text_col: str, lang_col: str, parts: int | None, least: float) -> DataFrame:
+    """Rows of :func:`scored` with ``low``, ``high`` and ``kept``."""
+    rows = settle(scored(docs, id_col, text_col, lang_col, parts), "quality")
+    good = rows.filter("not base_failed")
+    middle = good.groupBy("lang").agg(F.percentile_approx("bits", 0.5, 100_000).alias("middle"))
+    off = good.join(middle, "lang").groupBy("lang", "middle").agg(F.percentile_approx(F.abs(F.col("bits") - F.col("middle")), 0.5, 100_000).alias("off"))
+    half = lambda wide: F.greatest(F.col("off") * 1.4826 * wide, F.lit(float(least)))
+    bands = off.select("lang", (F.col("middle") - half(below)).alias("low"), (F.col("middle") + half(above)).alias("high"))
+    out = rows.join(bands, "lang", "left")
+    inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(True))
+    return out.withColumn("kept", ~F.col("base_failed") & inside)
+
+
+def drop_rejected(docs: DataFrame, below: float = BELOW, above: float = ABOVE, least: float = LEAST_BAND) -> DataFrame:
+    """``docs`` (with ``doc_id, text, lang``) without the rows that :func:`judged` rejects, columns unchanged."""
+    found = verdicts(docs, below, above, "doc_id", "text", "lang", None, least)
+    # One language and text has one verdict, whatever rows hold it.
+    rejected = found.filter(~F.col("kept")).select("id", "tie", "lang").distinct()
+    rejected = rejected.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("lang").alias("_lang"))
+    lang = F.coalesce(F.concat(F.lit("+"), F.col("lang").cast("string")), F.lit("-"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_of()) == F.col("_tie")) & (lang == F.col("_lang"))
+    return docs.join(rejected, same, "left_anti")
