@@ -13,6 +13,7 @@ upwards. Neighbours in suffix order that share ``span`` bytes are the repeated s
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +24,11 @@ from pyspark.sql import functions as F
 from barloom.llm.common import group_starts, text_of
 
 #: Bytes of text looked at together; a longer text is looked at alone.
-_SLAB = 2_000_000
-#: Bytes of contexts whose suffixes are sorted together.
-_SORTED = 2_000_000
+_SLAB = 500_000
+#: Bytes whose suffixes are sorted together.
+_SORTED = 1_000_000
 _LAST = np.iinfo(np.int64).max
+_NONE = np.zeros((0, 4), dtype=np.int64)
 
 
 def _packed(array: np.ndarray) -> bytes:
@@ -273,7 +275,7 @@ def repeated_spans(
         for r in replies.to_pylist():
             flags[cut[r["bucket"]] : cut[r["bucket"]] + r["n"]] = np.unpackbits(np.frombuffer(r["often"], np.uint8), count=r["n"])
         held: dict[tuple[int, bytes], tuple[int, int, int]] = {}
-        known: list[tuple[int, int, int, int]] = []
+        known = array("q")
         for first, x, ends, keys, starts, lengths in runs:
             often = np.flatnonzero(flags[np.searchsorted(every, keys)])
             raw = x.tobytes()
@@ -290,33 +292,33 @@ def repeated_spans(
         for b, (k, v) in zip(where, held.items(), strict=True):
             by.setdefault(b, []).append((k, v))
         part = key[0].as_py()
-        rows = [_message(b, part, entries, []) for b, entries in sorted(by.items())]
+        rows = [_message(b, part, entries, _NONE) for b, entries in sorted(by.items())]
         if known:
-            rows.append(_message(part % parts, part, [], known))
+            rows.append(_message(part % parts, part, [], np.array(known).reshape(-1, 4)))
         return _rows(rows, _schema(_MESSAGE))
 
     def settle_bucket(t: pa.Table) -> pa.Table:
         held: dict[tuple[int, bytes], tuple[int, int, int]] = {}
-        known: list[tuple[int, int, int, int]] = []
-        of: dict[tuple[int, int], int] = {}
+        late = array("q")
+        places, done = [], []
         for r in t.to_pylist():
             entries, own = _read_message(r)
-            known += own
-            of.update({(i, tie): r["part"] for i, tie, *_ in own})
-            of.update({(v[0], v[1]): r["part"] for _, v in entries})
+            done.append((r["part"], own))
+            places += [(v[0], v[1], r["part"]) for _, v in entries]
             for k, v in entries:
-                _meet(held, known, k, v)
-        known += _repeated(held, span)
-        by: dict[int, list] = {}
-        for doc_id, tie, a, b in known:
-            by.setdefault(of[doc_id, tie], []).append((doc_id, tie, a, b))
-        return _rows([_message(-1, p, [], rows) for p, rows in sorted(by.items())], _schema(_MESSAGE))
+                _meet(held, late, k, v)
+        found = [np.array(late, dtype=np.int64).reshape(-1, 4), *_repeated(held, span)]
+        of = {(i, tie): part for i, tie, part in places}
+        found = np.concatenate(found)
+        part = np.array([of[i, tie] for i, tie in zip(found[:, 0].tolist(), found[:, 1].tolist(), strict=True)], dtype=np.int64)
+        done += [(p, found[part == p]) for p in np.unique(part).tolist()]
+        return _rows([_message(-1, p, [], rows) for p, rows in done if len(rows)], _schema(_MESSAGE))
 
     def finish(_: tuple, t: pa.Table, gone: pa.Table) -> pa.Table:
         ids, ties, bodies = read(t)
         cover: dict[tuple[int, int], list] = {}
         for r in gone.to_pylist():
-            for doc_id, tie, a, b in _read_message(r)[1]:
+            for doc_id, tie, a, b in _read_message(r)[1].tolist():
                 cover.setdefault((doc_id, tie), []).append((a, b))
         rows = []
         for doc_id, tie, body in zip(ids.tolist(), ties.tolist(), bodies, strict=True):
@@ -357,7 +359,7 @@ def _schema(text: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in text.split(", "))])
 
 
-def _meet(held: dict, known: list, context: tuple[int, bytes], at: tuple[int, int, int]) -> None:
+def _meet(held: dict, known: array, context: tuple[int, bytes], at: tuple[int, int, int]) -> None:
     """Keep the earliest place of a context; the bytes of every other place are known to be repeats."""
     size = len(context[1])
     before = held.get(context)
@@ -365,22 +367,21 @@ def _meet(held: dict, known: list, context: tuple[int, bytes], at: tuple[int, in
         held[context] = at
     if before is not None and before != at:
         doc_id, tie, start = max(before, at)
-        known.append((doc_id, tie, start, start + size))
+        known.extend((doc_id, tie, start, start + size))
 
 
-def _message(bucket: int, part: int, entries: list, known: list) -> tuple:
+def _message(bucket: int, part: int, entries: list, known: np.ndarray) -> tuple:
     ids, ties, starts = (np.array([v[i] for _, v in entries], dtype=np.int64) for i in range(3))
     sizes = np.array([len(k[1]) for k, _ in entries], dtype=np.int64)
     body = b"".join(k[0].to_bytes(8, "little") + k[1] for k, _ in entries)
     packed = pa.compress(body, codec="zstd", asbytes=True)
-    ours = np.array(known, dtype=np.int64).reshape(-1, 4)
     return (
         bucket, part, len(entries), _packed(starts), _packed(sizes), _packed(ids), _packed(ties), len(body), packed,
-        len(known), *(_packed(ours[:, i]) for i in range(4)),
+        len(known), *(_packed(known[:, i]) for i in range(4)),
     )
 
 
-def _read_message(r: dict) -> tuple[list, list]:
+def _read_message(r: dict) -> tuple[list, np.ndarray]:
     n, body = r["n"], pa.decompress(r["body"], r["bytes"], codec="zstd", asbytes=True) if r["n"] else b""
     starts, sizes, ids, ties = (_unpacked(r[c], n, "<i8").tolist() if n else [] for c in ("starts", "sizes", "ids", "ties"))
     entries, at = [], 0
@@ -389,50 +390,72 @@ def _read_message(r: dict) -> tuple[list, list]:
         entries.append(((key, body[at + 8 : at + 8 + size]), tuple(place)))
         at += 8 + size
     names = ("known_ids", "known_ties", "known_from", "known_upto")
-    known = zip(*(_unpacked(r[c], r["known"], "<i8").tolist() for c in names), strict=True) if r["known"] else []
-    return entries, list(known)
+    return entries, np.stack([_unpacked(r[c], r["known"], "<i8") for c in names], axis=1) if r["known"] else _NONE
 
 
-def _repeated(held: dict, span: int) -> list[tuple[int, int, int, int]]:
+def _repeated(held: dict, span: int) -> Iterator[np.ndarray]:
     """Byte ranges of strings that start earlier in another distinct context under the same anchor hash."""
     by: dict[int, list] = {}
     for (key, body), place in held.items():
-        by.setdefault(key, []).append((body, place))
-    out: list[tuple[int, int, int, int]] = []
-    batch: list[tuple[bytes, tuple]] = []
+        by.setdefault(key, []).append((key, body, place))
+    batch: list[tuple] = []
     total = 0
     for group in by.values():
         if len(group) > 1:
             batch += group
-            total += sum(len(body) for body, _ in group)
+            total += sum(len(body) for _, body, _ in group)
             if total >= _SORTED:
-                out += _sorted_repeats(batch, span)
+                yield from _sorted_repeats(batch, span)
                 batch, total = [], 0
-    return out + (_sorted_repeats(batch, span) if batch else [])
+    if batch:
+        yield from _sorted_repeats(batch, span)
 
 
-def _sorted_repeats(batch: list[tuple[bytes, tuple]], span: int) -> list[tuple[int, int, int, int]]:
-    x = np.frombuffer(b"".join(body for body, _ in batch) + b"\0" * 8, dtype=np.uint8)
-    sizes = np.array([len(body) for body, _ in batch])
+def _sorted_repeats(batch: list[tuple], span: int) -> Iterator[np.ndarray]:
+    x = np.frombuffer(b"".join(body for _, body, _ in batch) + b"\0" * 8, dtype=np.uint8)
+    sizes = np.array([len(body) for _, body, _ in batch])
     begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     counts = sizes - span + 1
-    owner = np.repeat(np.arange(len(batch)), counts)
-    inside = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    number = equal_strings(x, begins[owner] + inside, span)
-    ids, ties, starts = (np.array([p[i] for _, p in batch]) for i in range(3))
-    ids, ties, at = ids[owner], ties[owner], starts[owner] + inside
+    owner = np.repeat(np.arange(len(batch), dtype=np.int32), counts)
+    inside = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+    # Strings that differ from all others in a mix of some of their bytes need no sorting.
+    mix = np.array([key for key, _, _ in batch], dtype=np.uint64)[owner]
+    for at in (0, span // 2 - 4, span - 8):
+        mix = (mix ^ _words(x, begins[owner] + inside + at)) * np.uint64(0x9E3779B97F4A7C15)
+        mix ^= mix >> np.uint64(29)
+    order = np.argsort(mix)
+    size = np.diff(np.append(heads := group_starts(mix[order]), len(order)))
+    alike = order[np.repeat(size > 1, size)]
+    if not len(alike):
+        return
+    # Equal strings share the mix, so slices of it can be sorted apart when a group is large.
+    slices = -(-len(alike) * span // (8 * _SORTED))
+    ids, ties, starts = (np.array([p[i] for _, _, p in batch]) for i in range(3))
+    part = (mix[alike] >> np.uint64(32)) % np.uint64(slices)
+    for k in range(slices):
+        own = np.sort(alike[part == k])
+        yield _late_strings(x, begins[owner[own]] + inside[own], ids[owner[own]], ties[owner[own]], starts[owner[own]] + inside[own], span)
+
+
+def _late_strings(x: np.ndarray, where: np.ndarray, ids: np.ndarray, ties: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+    """Rows (id, tie, from, upto) covered by the strings at ``where`` that an earlier place holds too."""
+    if not len(where):
+        return np.zeros((0, 4), np.int64)
+    # Only the covered bytes are sorted: runs of starts close to each other stay in one piece.
+    runs = np.flatnonzero(np.concatenate(([True], np.diff(where) > span)))
+    first, last = where[runs], where[np.append(runs[1:], len(where)) - 1] + span
+    shift = first - np.concatenate(([0], np.cumsum(last - first)[:-1]))
+    need = np.repeat(shift, last - first) + np.arange((last - first).sum())
+    moved = where - np.repeat(shift, np.diff(np.append(runs, len(where))))
+    number = equal_strings(np.concatenate((x[need], np.zeros(8, np.uint8))), moved, span)
     order = np.lexsort((at, ties, ids, number))
     number, ids, ties, at = number[order], ids[order], ties[order], at[order]
-    first = np.zeros(len(number), dtype=np.int64)
     heads = group_starts(number)
-    first[heads] = heads
-    first = np.maximum.accumulate(first)
+    first = np.repeat(heads, np.diff(np.append(heads, len(number))))
     late = (ids != ids[first]) | (ties != ties[first]) | (at != at[first])
     ids, ties, at = ids[late], ties[late], at[late]
     order = np.lexsort((at, ties, ids))
     ids, ties, at = ids[order], ties[order], at[order]
-    if not len(at):
-        return []
     heads = group_starts(ids, ties, at - np.arange(len(at)))
     ends = np.append(heads[1:], len(at)) - 1
-    return list(zip(ids[heads].tolist(), ties[heads].tolist(), at[heads].tolist(), (at[ends] + span).tolist(), strict=True))
+    return np.stack((ids[heads], ties[heads], at[heads], at[ends] + span), axis=1) if len(at) else np.zeros((0, 4), np.int64)
