@@ -63,14 +63,16 @@ def drop_repeated_chunks(
     then by place). ``_chunks`` counts a text's chunks, ``_dropped`` lists the removed ones by number from
     0. Rows equal in id and text are one document and come out alike, as often as they come. A null text
     stays null, an empty one has one chunk without a word, which is never removed; a text that loses all
-    its chunks becomes empty. Other columns are kept; an empty table gives no rows.
+    its chunks becomes empty. Other columns are kept, but for any named ``_chunks`` or ``_dropped``; an empty
+    table gives no rows.
     """
     text = text_of(text_col)
     key = F.struct(
         F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text, F.lit(1)).alias("hash")
     )
-    keyed = docs.select("*", key.alias("_key"))
-    pieces = keyed.select("_key", F.posexplode(chunks(text, window, divisor)).alias("place", "lines"))
+    # The row travels as one column, so that no name of it can clash.
+    keyed = docs.select(F.struct("*").alias("_row"), key.alias("_key"), text.alias("_text"))
+    pieces = keyed.select("_key", F.posexplode(chunks(F.col("_text"), window, divisor)).alias("place", "lines"))
     pieces = pieces.filter(F.size("lines") > 1).withColumn("body", F.concat_ws("\n", "lines"))
     pieces = pieces.filter(F.col("body").rlike(HAS_WORD)).withColumn("sign", F.xxhash64("body"))
     # Signs are counted without their texts; only texts of repeated signs are shuffled for comparison.
@@ -80,14 +82,11 @@ def drop_repeated_chunks(
     first = held.groupBy("sign", "body").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1")
     later = held.join(first, ["sign", "body"]).filter(at != F.col("first")).select("_key", "place")
     dropped = later.groupBy("_key").agg(F.array_sort(F.collect_set("place")).alias("_dropped"))
-    marked = keyed.join(dropped, "_key", "left").drop("_key")
-    marked = marked.withColumn("_parts", chunks(text, window, divisor))
+    marked = keyed.join(dropped, "_key", "left").withColumn("_parts", chunks(F.col("_text"), window, divisor))
     kept = F.filter("_parts", lambda _, k: ~F.array_contains(F.col("_dropped"), k))
     left = F.concat_ws("\n", F.flatten(kept))
-    return marked.withColumns(
-        {
-            "_chunks": F.size("_parts"),
-            text_col: F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(left),
-            "_dropped": F.coalesce("_dropped", F.array().cast("array<int>")),
-        }
-    ).drop("_parts")
+    row = F.col("_row")
+    body = F.when(F.col("_dropped").isNull(), row[text_col]).otherwise(left)
+    columns = [body.alias(c) if c == text_col else row[c].alias(c) for c in docs.columns if c not in ("_chunks", "_dropped")]
+    none = F.array().cast("array<int>")
+    return marked.select(*columns, F.size("_parts").alias("_chunks"), F.coalesce("_dropped", none).alias("_dropped"))

@@ -118,8 +118,15 @@ def mixed_described(
     """:func:`mixed` for rows that already have ``topic`` and ``tokens``; the text is then not needed."""
     margins = margins or {"source": TEMPER, "lang": TEMPER, "topic": TOPIC_SHARES}
     cells = named.groupBy(*CELL).agg(F.sum("tokens").alias("tokens"))
-    rate = rates(cells, margins, fraction, rounds).select(*[F.col(c).alias(f"_{c}") for c in CELL], "weight", "probability")
-    same = [named[c].eqNullSafe(rate[f"_{c}"]) for c in CELL]
-    joined = named.join(rate, same, "left").drop(*[f"_{c}" for c in CELL])
-    joined = joined.withColumns({"weight": F.coalesce("weight", F.lit(1.0)), "probability": F.coalesce("probability", F.lit(1.0))})
-    return joined.withColumn("kept", draw(id_col, seed) < F.col("probability"))
+    rate = rates(cells, margins, fraction, rounds)
+    rate = rate.select(F.struct(*CELL).alias("cell"), "weight", "probability")
+    # The row travels as one column, so that no name of it can clash.
+    rows = named.select(F.struct("*").alias("row"), F.struct(*CELL).alias("own"), draw(id_col, seed).alias("draw"))
+    joined = rows.join(rate, F.col("own").eqNullSafe(F.col("cell")), "left")
+    probability = F.coalesce("probability", F.lit(1.0))
+    return joined.select(
+        "row.*",
+        F.coalesce("weight", F.lit(1.0)).alias("weight"),
+        probability.alias("probability"),
+        (F.col("draw") < probability).alias("kept"),
+    )

@@ -189,12 +189,12 @@ def _step(low: Bin, others: dict[Bin, int], limit: int) -> tuple[Bin, list[int],
     return best and best[1:]
 
 
-def swap_search(bins: Counter, limit: int, effort: int = 1000) -> Counter:
+def swap_search(bins: Counter, limit: int, effort: int = 2000) -> Counter:
     """Exchange pieces from the emptiest bins into fuller ones until bins empty.
 
     Every exchange takes from the emptiest class and makes a fuller bin fuller, so the sum of squared
     fills rises. The search stops at the number of bins that the total length needs, when nothing can
-    be exchanged, or after ``effort`` exchanges of whole classes.
+    be exchanged, or after ``effort`` trials with whole classes.
     """
     total = sum(_filled(b) * n for b, n in bins.items())
     fewest = -(-total // limit)
@@ -222,6 +222,9 @@ def swap_search(bins: Counter, limit: int, effort: int = 1000) -> Counter:
             stuck[low] += count + open_.pop(low, 0)
             continue
         other, gets, gives = step
+        for b, n in stuck.items():  # what was stuck may fit now
+            open_[b] = open_.get(b, 0) + n
+        stuck.clear()
         both = min(count, open_[other])
         open_[other] -= both
         if not open_[other]:

@@ -359,8 +359,9 @@ def drop_rejected(docs: DataFrame, below: float = BELOW, above: float = ABOVE, l
     """``docs`` (with ``doc_id, text, lang``) without the rows that :func:`judged` rejects, columns unchanged."""
     found = verdicts(docs, below, above, "doc_id", "text", "lang", None, least)
     # One language and text has one verdict, whatever rows hold it.
-    rejected = found.filter(~F.col("kept")).select("id", "tie", "lang").distinct()
-    rejected = rejected.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("lang").alias("_lang"))
+    rejected = found.filter(~F.col("kept")).select(F.struct("id", "tie", "lang").alias("key")).distinct()
     lang = F.coalesce(F.concat(F.lit("+"), F.col("lang").cast("string")), F.lit("-"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_of()) == F.col("_tie")) & (lang == F.col("_lang"))
-    return docs.join(rejected, same, "left_anti")
+    key = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_of()).alias("tie"), lang.alias("lang"))
+    # The row travels as one column, so that no name of it can clash.
+    keyed = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    return keyed.join(rejected, keyed["key"].eqNullSafe(rejected["key"]), "left_anti").select("row.*")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import group_starts, lowest_labels, texts, whole_groups
+from barloom.llm.common import group_starts, lowest_labels, text_of, texts, whole_groups
 from barloom.llm.components import connected_components
 from barloom.session import settle
 
@@ -169,9 +169,9 @@ def drop_near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) ->
     The row with the smallest ``doc_id`` stays (nulls last, ties by the text's hash; of rows equal in
     both, one stays). Texts without any word are alike to each other only.
     """
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    ids = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_hash").alias("hash"))
-    groups = simhash_groups(keyed.select(ids.alias("key"), "text"), distance, width, "key")
-    kept = groups.filter("key = component").select("key.id", "key.hash").distinct()
-    one = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("hash")), "left_semi")
-    return one.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    # The row travels as one column, so that no name of it can clash.
+    ids = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("hash"))
+    keyed = docs.select(F.struct("*").alias("row"), ids.alias("key"))
+    groups = simhash_groups(keyed.select("key", F.col("row.text").alias("text")), distance, width, "key")
+    kept = groups.filter("key = component").select("key").distinct()
+    return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

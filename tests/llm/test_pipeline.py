@@ -70,7 +70,8 @@ def test_run_equals_the_stages(spark, steps):
 def test_documents_with_nulls_and_no_documents(spark):
     rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "w " * 60_000, "en", None, 1), (3, None, "de", "b", 0)]
     rows += [(10 + i, " ".join(f"w{i}x{k}" for k in range(60)), "en" if i % 2 else None, None if i % 3 else "s", 1) for i in range(12)]
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(*r, 1, "k", 2, 0.5) for r in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key int, row string, id int, draw double"
     for given in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
         docs = given
         for name, stage in corpus_pipeline.STAGES:
