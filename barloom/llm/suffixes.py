@@ -222,12 +222,13 @@ def repeated_spans(
     are one document and come out alike, as often as they come. A null text is empty; texts shorter than
     ``span`` stay whole; an empty table gives no rows; other columns are ignored.
 
-    Texts are dealt once to ``parts`` groups (the number of shuffle partitions if not given), and all three
+    Texts are dealt once to twice ``parts`` groups (the number of shuffle partitions if not given), and all three
     passes over them read that exchange. What moves besides is one hash per anchor, one bit back, and the
     distinct contexts of repeated anchors.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))  # buckets
+    parts = 2 * many
     width = span - gram + 1
     text = text_of(text_col)
     dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), text.cast("binary").alias("body"))
@@ -239,12 +240,12 @@ def repeated_spans(
         return ids, t.column("tie").to_numpy(), t.column("body").to_pylist()
 
     def buckets(keys: np.ndarray) -> np.ndarray:
-        return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        return ((keys >> np.uint64(32)) * np.uint64(many) >> np.uint64(32)).astype(np.int64)
 
     def ask(key: tuple, t: pa.Table) -> pa.Table:
         found = [anchor_runs(x, ends, span, gram)[0] for _, x, ends in _slabs(read(t)[2])]
         keys, counts = np.unique(np.concatenate(found), return_counts=True)
-        cut = np.searchsorted(buckets(keys), np.arange(parts + 1))
+        cut = np.searchsorted(buckets(keys), np.arange(many + 1))
         rows = []
         for b in np.flatnonzero(np.diff(cut)).tolist():
             one = slice(cut[b], cut[b + 1])
@@ -271,7 +272,7 @@ def repeated_spans(
         runs = [(first, x, ends, *anchor_runs(x, ends, span, gram)) for first, x, ends in _slabs(bodies)]
         every = np.unique(np.concatenate([r[3] for r in runs])) if runs else np.zeros(0, np.uint64)
         flags = np.zeros(len(every), dtype=bool)
-        cut = np.searchsorted(buckets(every), np.arange(parts + 1))
+        cut = np.searchsorted(buckets(every), np.arange(many + 1))
         for r in replies.to_pylist():
             flags[cut[r["bucket"]] : cut[r["bucket"]] + r["n"]] = np.unpackbits(np.frombuffer(r["often"], np.uint8), count=r["n"])
         held: dict[tuple[int, bytes], tuple[int, int, int]] = {}
@@ -287,29 +288,29 @@ def repeated_spans(
             )
             for k, a, b, doc_id, tie, start in whole:
                 _meet(held, known, (k, raw[a:b]), (doc_id, tie, start))
+        del runs
         by: dict[int, list] = {}
         where = buckets(np.fromiter((k for k, _ in held), np.uint64, len(held))).tolist()
-        for b, (k, v) in zip(where, held.items(), strict=True):
-            by.setdefault(b, []).append((k, v))
+        for b in reversed(where):
+            by.setdefault(b, []).append(held.popitem())
         part = key[0].as_py()
-        rows = [_message(b, part, entries, _NONE) for b, entries in sorted(by.items())]
+        rows = [_message(b, part, by.pop(b), _NONE) for b in sorted(by)]
         if known:
-            rows.append(_message(part % parts, part, [], np.array(known).reshape(-1, 4)))
+            rows.append(_message(part % many, part, [], np.array(known).reshape(-1, 4)))
         return _rows(rows, _schema(_MESSAGE))
 
     def settle_bucket(t: pa.Table) -> pa.Table:
         held: dict[tuple[int, bytes], tuple[int, int, int]] = {}
-        late = array("q")
-        places, done = [], []
-        for r in t.to_pylist():
-            entries, own = _read_message(r)
-            done.append((r["part"], own))
-            places += [(v[0], v[1], r["part"]) for _, v in entries]
-            for k, v in entries:
-                _meet(held, late, k, v)
-        found = [np.array(late, dtype=np.int64).reshape(-1, 4), *_repeated(held, span)]
-        of = {(i, tie): part for i, tie, part in places}
-        found = np.concatenate(found)
+        late, done = array("q"), []
+        of: dict[tuple[int, int], int] = {}
+        for batch in t.to_batches(max_chunksize=16):
+            for r in batch.to_pylist():
+                entries, own = _read_message(r)
+                done.append((r["part"], own))
+                for k, v in entries:
+                    of[v[:2]] = r["part"]
+                    _meet(held, late, k, v)
+        found = np.concatenate([np.array(late, dtype=np.int64).reshape(-1, 4), *_repeated(held, span)])
         part = np.array([of[i, tie] for i, tie in zip(found[:, 0].tolist(), found[:, 1].tolist(), strict=True)], dtype=np.int64)
         done += [(p, found[part == p]) for p in np.unique(part).tolist()]
         return _rows([_message(-1, p, [], rows) for p, rows in done if len(rows)], _schema(_MESSAGE))
@@ -396,7 +397,8 @@ def _read_message(r: dict) -> tuple[list, np.ndarray]:
 def _repeated(held: dict, span: int) -> Iterator[np.ndarray]:
     """Byte ranges of strings that start earlier in another distinct context under the same anchor hash."""
     by: dict[int, list] = {}
-    for (key, body), place in held.items():
+    while held:  # taken over one by one, so nothing is held twice
+        (key, body), place = held.popitem()
         by.setdefault(key, []).append((key, body, place))
     batch: list[tuple] = []
     total = 0
@@ -416,25 +418,32 @@ def _sorted_repeats(batch: list[tuple], span: int) -> Iterator[np.ndarray]:
     sizes = np.array([len(body) for _, body, _ in batch])
     begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     counts = sizes - span + 1
-    owner = np.repeat(np.arange(len(batch), dtype=np.int32), counts)
-    inside = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+    where = np.repeat(begins - (np.cumsum(counts) - counts), counts)
+    where += np.arange(len(where))
     # Strings that differ from all others in a mix of some of their bytes need no sorting.
-    mix = np.array([key for key, _, _ in batch], dtype=np.uint64)[owner]
-    for at in (0, span // 2 - 4, span - 8):
-        mix = (mix ^ _words(x, begins[owner] + inside + at)) * np.uint64(0x9E3779B97F4A7C15)
-        mix ^= mix >> np.uint64(29)
-    order = np.argsort(mix)
-    size = np.diff(np.append(heads := group_starts(mix[order]), len(order)))
-    alike = order[np.repeat(size > 1, size)]
-    if not len(alike):
+    mix = np.repeat(np.array([key for key, _, _ in batch], dtype=np.uint64), counts)
+    for low in range(0, len(mix), _SORTED):
+        some = mix[low : low + _SORTED]
+        for at in (0, span // 2 - 4, span - 8):
+            some ^= _words(x, where[low : low + _SORTED] + at)
+            some *= np.uint64(0x9E3779B97F4A7C15)
+            some ^= some >> np.uint64(29)
+    heads = group_starts(ordered := np.sort(mix))
+    twice = ordered[heads[np.diff(np.append(heads, len(ordered))) > 1]]
+    del ordered, heads
+    if not len(twice):
         return
+    found = [low + np.flatnonzero(np.isin(mix[low : low + _SORTED], twice)) for low in range(0, len(mix), _SORTED)]
+    alike = np.concatenate(found)
+    mix, where = mix[alike], where[alike]
     # Equal strings share the mix, so slices of it can be sorted apart when a group is large.
     slices = -(-len(alike) * span // (8 * _SORTED))
     ids, ties, starts = (np.array([p[i] for _, _, p in batch]) for i in range(3))
-    part = (mix[alike] >> np.uint64(32)) % np.uint64(slices)
+    part = (mix >> np.uint64(32)) % np.uint64(slices)
     for k in range(slices):
-        own = np.sort(alike[part == k])
-        yield _late_strings(x, begins[owner[own]] + inside[own], ids[owner[own]], ties[owner[own]], starts[owner[own]] + inside[own], span)
+        own = where[part == k]
+        of = np.searchsorted(begins, own, side="right") - 1
+        yield _late_strings(x, own, ids[of], ties[of], starts[of] + own - begins[of], span)
 
 
 def _late_strings(x: np.ndarray, where: np.ndarray, ids: np.ndarray, ties: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
