@@ -5,7 +5,7 @@ built-in for. With ``u[0] = x[0]`` and ``u[t] = alpha * x[t]`` it is the weighte
 ``y[t] = sum(d**i * u[t-i])``, ``d = 1 - alpha``, and that sum can be built by widening: if ``s``
 covers the last ``m`` rows, then ``s[t] + d**m * s[t-m] + d**2m * s[t-2m] + ...`` covers a multiple
 of ``m``. With four terms a level, five levels reach 1024 rows. The number of levels follows from
-the smallest decay: rows whose weight is below 1e-30 cannot change a double and are left out.
+the smallest decay: a level is left out only when its weights are zero as doubles.
 
 Every level is one Window operator of ``lag`` calls over the panel's own partitioning and order, so
 there is no Python worker, no array per ticker and no extra exchange, and it spills like any window.
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from barloom.functions.frames import by_ticker, levels
 
 RADIX = 4
-NO_WEIGHT = 1e-30
+#: The smallest double above zero.
+NO_WEIGHT = math.ulp(0.0)
 
 
 @dataclass(frozen=True)

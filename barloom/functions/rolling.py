@@ -72,8 +72,13 @@ class Rolling:
         return self.total(n) / n
 
     def std(self, n: int) -> Column:
-        """Sample deviation; needs at least one whole block."""
+        """Sample deviation; a window without a whole block is put together from single rows."""
         blocks, singles = self._offsets(n)
+        if not blocks:
+            gaps = [_back(self.column, i) - F.col(self.column) for i in singles[1:]]
+            shift = _sum(gaps)
+            inner = _sum([g * g for g in gaps]) - shift * shift / n
+            return F.sqrt(F.when(inner < 0, 0.0).otherwise(inner) / (n - 1))
         newest = F.col(self._mean)
         parts = [(BLOCK, _back(self._mean, o) - newest) for o in blocks[1:]]
         parts += [(1, _back(self.column, o) - newest) for o in singles]

@@ -9,12 +9,6 @@ from pyspark.sql import types as T
 from barloom.functions import text as tx
 from barloom.session import settle
 
-# Dictionaries up to this many entries travel inside the expressions; larger ones are joined.
-INLINE_TERMS = 2000
-INLINE_LEXICON = 1000
-# An ordered pass over the last open articles may hold this many keys on the driver.
-FINISH_BELOW = 20_000
-
 
 def article_records(raw: DataFrame, now: Column | None = None, default_source: str = "Google News") -> DataFrame:
     """Collector records to articles. A date without a zone is UTC, one that does not parse is now."""
@@ -41,38 +35,26 @@ def company_terms(companies: DataFrame) -> DataFrame:
     return terms.select("ticker", F.lower("term").alias("term")).distinct()
 
 
-def match_companies(articles: DataFrame, terms: DataFrame, inline_terms: int = INLINE_TERMS) -> DataFrame:
+def _body_key(body: Column) -> Column:
+    """What equal texts share. Articles need no key of their own for it, so null and repeated ids are harmless."""
+    return F.md5(body.cast("binary"))
+
+
+def match_companies(articles: DataFrame, terms: DataFrame) -> DataFrame:
     """One copy of an article per company that its whole text names.
 
-    A term can only match if its first word is a word of the text, so patterns are tried for those
-    terms alone. A dictionary of checked size becomes a constant and the match needs no shuffle;
-    a larger one is joined on the first word.
+    A term can only match if its first word is a word of the text. Distinct words of distinct texts meet
+    the first words of the terms without the texts; a text is joined back once for the candidates found,
+    and the pattern decides. The optimizer broadcasts a small dictionary and splits hot words of a large one.
     """
     text = tx.searched_text("headline", "summary", "content")
-    sample = terms.select("ticker", "term").limit(inline_terms + 1).collect()
-    articles = articles.drop("ticker")
-    if len(sample) <= inline_terms:
-        keyed = terms.select("ticker", tx.first_word(F.col("term")).alias("first"), tx.whole_term(F.col("term")).alias("pattern"))
-        rows = keyed.filter("first <> ''").collect()
-        if not rows:
-            return articles.withColumn("ticker", F.lit(None).cast("string")).filter(F.lit(False))
-        firsts = F.array(*[F.lit(w) for w in sorted({r["first"] for r in rows})])
-        table = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("ticker", "first", "pattern")]) for r in sorted(rows)])
-
-        def named(body: Column) -> Column:
-            def among(hits: Column) -> Column:
-                found = F.filter(table, lambda t: F.array_contains(hits, t["first"]) & F.regexp_like(body, t["pattern"]))
-                return F.array_distinct(F.transform(found, lambda t: t["ticker"]))
-
-            return tx.let(F.array_intersect(tx.words(body), firsts), among)
-
-        return articles.withColumn("ticker", F.explode(tx.let(text, named)))
-    keyed = terms.select("ticker", tx.first_word(F.col("term")).alias("_word"), tx.whole_term(F.col("term")).alias("_pattern"))
-    df = articles.withColumn("_text", text)
-    df = df.withColumn("_word", F.explode(F.array_distinct(tx.words(F.col("_text")))))
-    hits = df.join(keyed, "_word").filter(F.regexp_like("_text", F.col("_pattern")))
-    pairs = hits.select("article_id", "ticker").distinct()
-    return articles.join(pairs, "article_id")
+    keyed = articles.drop("ticker").withColumn("_body", _body_key(text))
+    bodies = keyed.select("_body", text.alias("_text")).dropDuplicates(["_body"])
+    first = terms.select("ticker", tx.first_word(F.col("term")).alias("_word"), tx.whole_term(F.col("term")).alias("_pattern"))
+    words = bodies.select("_body", F.explode(F.array_distinct(tx.words(F.col("_text")))).alias("_word"))
+    candidates = words.join(first.filter("_word <> ''"), "_word").select("_body", "ticker", "_pattern")
+    named = candidates.join(bodies, "_body").filter(F.regexp_like("_text", F.col("_pattern")))
+    return keyed.join(named.select("_body", "ticker").distinct(), "_body").drop("_body")
 
 
 # -------------------------------------------------------------- deduplication
@@ -96,84 +78,80 @@ def dedup_cheap(articles: DataFrame, order: str = "article_id") -> DataFrame:
     return articles.join(kept, order, "left_semi").withColumn("url", tx.normalized_url("url"))
 
 
-def first_wins_keys(keys: DataFrame, finish_below: int = FINISH_BELOW) -> DataFrame:
-    """``_order`` of the articles an ordered pass would keep, found in parallel rounds.
+def first_wins_keys(keys: DataFrame) -> DataFrame:
+    """The rows ``(_order, _url, _hash)`` that an ordered pass would keep, found in parallel rounds.
 
-    An article is kept if no kept article before it shares its URL or its hash. That is a greedy
-    matching between URLs and hashes in article order. In each round every article that is the first
-    of the open ones on both its URL and its hash is kept, and all articles on a taken URL or hash
-    are closed. Copies with equal URL and hash fall into one row before the first round, and the
-    firsts are partial aggregates, so a URL or headline that fills a third of the input is never
-    gathered anywhere. Every round is written to the shared folder. Rounds are as many as the longest
-    chain of articles that wait for each other; once no more than ``finish_below`` articles are
-    open, the tail of such chains is walked in order on the driver.
+    A row is kept if no kept row before it shares its URL or its hash; a null shares nothing. That is a
+    greedy matching between URLs and hashes in order. In each round every row that is the first of the
+    open ones on both its URL and its hash is kept, and all rows on a taken URL or hash are closed. Rows
+    with equal URL and hash fall into one before the first round, and the firsts are partial aggregates.
+    Every round is written to the shared folder; there are as many as the longest chain of rows that wait
+    for each other. Null orders come last, equal ones are ordered by hash and URL.
     """
-    spark = keys.sparkSession
-    order_type = keys.schema["_order"].dataType.simpleString()
-    open_ = settle(keys.groupBy("_url", "_hash").agg(F.min("_order").alias("_order")), "dedup-open")
-    kept = spark.createDataFrame([], f"_order {order_type}")
-    while True:
-        left = open_.limit(finish_below + 1).count()
-        if left == 0:
-            return kept
-        if left <= finish_below:
-            urls, hashes, tail = set(), set(), []
-            for row in sorted(open_.collect(), key=lambda r: r["_order"]):
-                if row["_url"] not in urls and row["_hash"] not in hashes:
-                    urls.add(row["_url"])
-                    hashes.add(row["_hash"])
-                    tail.append((row["_order"],))
-            return kept.unionByName(spark.createDataFrame(tail, kept.schema))
-        url_first = open_.groupBy("_url").agg(F.min("_order").alias("_order"))
-        hash_first = open_.groupBy("_hash").agg(F.min("_order").alias("_order"))
-        both_first = open_.join(url_first, ["_url", "_order"], "left_semi").join(hash_first, ["_hash", "_order"], "left_semi")
-        taken = settle(both_first.select("_order", "_url", "_hash"), "dedup-kept")
-        kept = kept.unionByName(taken.select("_order"))
-        rest = open_.join(taken.select("_url"), "_url", "left_anti").join(taken.select("_hash"), "_hash", "left_anti")
-        open_ = settle(rest, "dedup-open")
-
-
-def dedup_first_wins(articles: DataFrame, order: str = "article_id", finish_below: int = FINISH_BELOW) -> DataFrame:
-    """Exact ordered deduplication by normalised URL or headline hash."""
-    kept = first_wins_keys(_keyed(articles, order), finish_below).withColumnRenamed("_order", order)
-    return articles.join(kept, order, "left_semi").withColumn("url", tx.normalized_url("url"))
+    columns = ["_order", "_url", "_hash"]
+    # A null URL stands in by the hash, which alone can close the row, and a null hash by the URL.
+    url = F.coalesce(F.concat(F.lit("+"), "_url"), F.concat(F.lit("-"), "_hash"))
+    hash_ = F.coalesce(F.concat(F.lit("+"), "_hash"), F.concat(F.lit("-"), "_url"))
+    free = keys.filter("_url is null and _hash is null")
+    rank = F.struct(F.col("_order").isNull().alias("none"), F.col("_order").alias("order"), "h", "u")
+    bound = keys.filter("_url is not null or _hash is not null").select(*columns, url.alias("u"), hash_.alias("h"))
+    row = F.min_by(F.struct(*columns), "rank").alias("row")
+    open_ = settle(bound.withColumn("rank", rank).groupBy("u", "h").agg(F.min("rank").alias("rank"), row), "dedup-open")
+    kept = free
+    left = open_.count()
+    while left:
+        url_first = open_.groupBy("u").agg(F.min("rank").alias("rank"))
+        hash_first = open_.groupBy("h").agg(F.min("rank").alias("rank"))
+        both_first = open_.join(url_first, ["u", "rank"], "left_semi").join(hash_first, ["h", "rank"], "left_semi")
+        taken = settle(both_first.select("u", "h", "row"), "dedup-kept")
+        kept = kept.unionByName(taken.select("row.*"))
+        rest = open_.join(taken.select("u"), "u", "left_anti").join(taken.select("h"), "h", "left_anti")
+        open_, before = settle(rest, "dedup-open"), left
+        left = open_.count()
+        if left >= before:
+            raise RuntimeError("a round of deduplication closed nothing")
+    return kept
+
+
+def dedup_first_wins(articles: DataFrame, order: str = "article_id", stored: DataFrame | None = None) -> DataFrame:
+    """Exact ordered deduplication by normalised URL or headline hash; a null matches nothing.
+
+    ``stored`` holds articles accepted before (``url, headline``). They come before all others, so an
+    article that shares a URL or a headline with one of them is not admitted.
+    """
+    keys = _keyed(articles, order)
+    if stored is not None:
+        known = stored.select(tx.normalized_url("url").alias("_url"), tx.headline_hash("headline").alias("_hash"))
+        keys = keys.join(known.select("_url").distinct(), "_url", "left_anti").select("_order", "_url", "_hash")
+        keys = keys.join(known.select("_hash").distinct(), "_hash", "left_anti").select("_order", "_url", "_hash")
+    kept = first_wins_keys(keys).distinct()
+    named = articles.withColumns({"_url": tx.normalized_url("url"), "_hash": tx.headline_hash("headline")})
+    same = [named[a].eqNullSafe(kept[b]) for a, b in ((order, "_order"), ("_url", "_url"), ("_hash", "_hash"))]
+    found = named.join(kept, same, "left_semi")
+    # Rows alike in order, URL and headline are copies of each other, unless they have neither.
+    none = F.col("_url").isNull() & F.col("_hash").isNull()
+    one = found.filter(~none).dropDuplicates([order, "_url", "_hash"]).unionByName(found.filter(none))
+    return one.drop("_hash", "url").withColumnRenamed("_url", "url").select(*articles.columns)
 
 
 # ------------------------------------------------------------------ sentiment
 
-# Own small valence list in the usual -4 to 4 range (fixed values).
-VALENCES = {
-    "bankrupt": -3.2, "boost": 1.7, "collapse": -2.9, "crash": -2.6, "crisis": -3.1, "cut": -1.1, "decline": -1.5,
-    "default": -2.4, "drop": -1.1, "expand": 1.3, "fall": -1.2, "fraud": -2.8, "gain": 2.4, "good": 1.9, "growth": 1.6,
-    "high": 0.6, "improve": 1.9, "increase": 1.3, "loss": -1.7, "low": -1.1, "penalty": -2.0, "poor": -2.1, "profit": 1.9,
-    "record": 1.2, "recover": 1.4, "rise": 1.2, "risk": -1.1, "strong": 2.3, "success": 2.7, "surge": 1.6, "weak": -1.9,
-    "win": 2.8, "worst": -3.1,
-}
-
-
-def default_lexicon(spark) -> DataFrame:
-    return spark.createDataFrame(list(VALENCES.items()), "word string, valence double")
-
 
-def score_sentiment(articles: DataFrame, lexicon: DataFrame, key: str = "article_id", inline: int = INLINE_LEXICON) -> DataFrame:
+def score_sentiment(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Compound score of headline and summary from the valences of their words.
 
-    A small lexicon is a constant map and needs no shuffle; a larger one is joined to the words,
-    summed per article before the exchange, and only the sums are joined back.
+    The words of distinct texts are joined to the lexicon, summed per text before the exchange, and only
+    the sums are joined back. A word that the lexicon repeats counts with its mean valence.
     """
-    tokens = tx.words(tx.searched_text("headline", "summary"))
-    rows = lexicon.select("word", "valence").limit(inline + 1).collect()
-    if len(rows) <= inline:
-        entries = sorted((r["word"], r["valence"]) for r in rows)
-        table = F.map_from_arrays(F.array(*[F.lit(w) for w, _ in entries]), F.array(*[F.lit(v) for _, v in entries]))
-        known = F.array(*[F.lit(w) for w, _ in entries])
-        hits = F.filter(tokens, lambda w: F.array_contains(known, w))
-        total = F.aggregate(hits, F.lit(0.0), lambda acc, w: acc + F.element_at(table, w))
-        return articles.withColumn("sentiment_score", tx.compound(total))
-    exploded = articles.select(key, F.explode(tokens).alias("word"))
-    sums = exploded.join(lexicon, "word").groupBy(key).agg(F.sum("valence").alias("_total"))
-    scored = articles.join(sums, key, "left")
-    return scored.withColumn("sentiment_score", tx.compound(F.coalesce("_total", F.lit(0.0)))).drop("_total")
+    text = tx.searched_text("headline", "summary")
+    keyed = articles.withColumn("_body", _body_key(text))
+    bodies = keyed.select("_body", text.alias("_text")).dropDuplicates(["_body"])
+    valences = lexicon.groupBy("word").agg(F.avg("valence").alias("valence"))
+    words = bodies.select("_body", F.explode(tx.words(F.col("_text"))).alias("word"))
+    counts = words.groupBy("_body", "word").agg(F.count("*").alias("_n"))
+    sums = counts.join(valences, "word").groupBy("_body").agg(F.sum(F.col("valence") * F.col("_n")).alias("_total"))
+    scored = keyed.join(sums, "_body", "left")
+    return scored.withColumn("sentiment_score", tx.compound(F.coalesce("_total", F.lit(0.0)))).drop("_total", "_body")
 
 
 # ------------------------------------------------------------------- roll-up
@@ -188,21 +166,22 @@ def daily_sentiment(articles: DataFrame) -> DataFrame:
 
 
 def analyse_articles(
-    articles: DataFrame, terms: DataFrame, lexicon: DataFrame, exact: bool = True, split_first: bool = False
+    articles: DataFrame, terms: DataFrame, lexicon: DataFrame, exact: bool = True, split_first: bool = False, stored: DataFrame | None = None
 ) -> DataFrame:
     """Match, deduplicate and score. Articles that name no company are dropped.
 
     By default copies are removed before an article is split by company, so an article that names
     two companies counts for both. ``split_first`` splits before, and then only the copy of the
-    lowest ticker survives, because the copies share URL and headline.
+    lowest ticker survives, because the copies share URL and headline. ``stored`` articles were accepted
+    before; with ``exact``, what repeats one of them is not admitted again.
     """
-    dedup = dedup_first_wins if exact else dedup_cheap
     # Only the pairs are written, so the texts are searched once.
     pairs = settle(match_companies(articles, terms).select("article_id", "ticker"), "news-pairs")
     if split_first:
         pairs = pairs.groupBy("article_id").agg(F.min("ticker").alias("ticker"))
     named = articles.join(pairs.select("article_id").distinct(), "article_id", "left_semi")
-    return score_sentiment(dedup(named), lexicon).drop("ticker").join(pairs, "article_id")
+    single = dedup_first_wins(named, stored=stored) if exact else dedup_cheap(named)
+    return score_sentiment(single, lexicon).drop("ticker").join(pairs, "article_id")
 
 
 def news_rollup(articles: DataFrame, terms: DataFrame, lexicon: DataFrame, **options) -> DataFrame:

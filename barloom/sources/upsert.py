@@ -37,7 +37,8 @@ def upsert(stored: DataFrame, batch: DataFrame, rule: UpsertRule, order: str | N
     """The table after the batch.
 
     A value of the batch replaces the stored one even when it is null. If a key comes more than
-    once in the batch, the row with the greatest ``order`` wins.
+    once in the batch, the row with the greatest ``order`` wins; without it, or among equal ones,
+    the row with the greatest updated values, column by column, so that a replay gives the same table.
     """
     require_columns(batch, rule.keys + rule.updates)
     columns = stored.columns
@@ -49,7 +50,8 @@ def upsert(stored: DataFrame, batch: DataFrame, rule: UpsertRule, order: str | N
     nth = new.schema["_rank"].dataType["nth"].dataType
     old = stored.withColumn("_rank", F.struct(F.lit(0).alias("side"), F.lit(None).cast(nth).alias("nth")))
     both = old.unionByName(new, allowMissingColumns=True)
-    aggs = [F.max_by(F.struct(*rule.updates), "_rank").alias("_new")]
+    newest = F.struct("_rank.side", "_rank.nth", *rule.updates)
+    aggs = [F.max_by(F.struct(*rule.updates), newest).alias("_new")]
     if kept:
         aggs.append(F.min_by(F.struct(*kept), "_rank").alias("_old"))
     merged = both.groupBy(*rule.keys).agg(*aggs)
@@ -61,6 +63,10 @@ def upsert(stored: DataFrame, batch: DataFrame, rule: UpsertRule, order: str | N
     )
 
 
+#: Partition of the rows without a date.
+NO_MONTH = "none"
+
+
 def upsert_table(
     spark: SparkSession, path: str, batch: DataFrame, rule: UpsertRule, date: str = "date", order: str | None = None
 ) -> None:
@@ -68,11 +74,12 @@ def upsert_table(
 
     The months of a batch are bounded by the calendar. Spark stages the new partitions and swaps
     them in at commit, so a failed job leaves the table as it was; applying a batch twice gives the
-    same table as applying it once.
+    same table as applying it once. Rows without a date share one partition of their own.
     """
     if "_month" in batch.columns:
         raise ValueError("column name _month is reserved")
-    named = batch.withColumn("_month", F.date_format(date, "yyyy-MM"))
+    month = F.coalesce(F.date_format(date, "yyyy-MM"), F.lit(NO_MONTH))
+    named = batch.withColumn("_month", month)
     if not table_exists(spark, path):
         empty = spark.createDataFrame([], batch.schema)
         result = upsert(empty, batch, rule, order)
@@ -82,7 +89,7 @@ def upsert_table(
         stored = stored.filter(F.col("_month").isin(months)).drop("_month")
         result = upsert(stored, batch, rule, order)
     (
-        result.withColumn("_month", F.date_format(date, "yyyy-MM"))
+        result.withColumn("_month", month)
         .hint("rebalance", "_month")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -98,8 +98,8 @@ def n01(v: Views):
 
 @case("j14_company_match_joined", with_views(_MATCH + "SELECT article_id, ticker FROM hits", "articles"))
 def j14(v: Views):
-    """The same match for a dictionary that is too large to travel with the plan."""
-    return nw.match_companies(v.articles, terms(v), inline_terms=0).select("article_id", "ticker")
+    """The match as a join: the same rows for a dictionary of any size."""
+    return nw.match_companies(v.articles, terms(v)).select("article_id", "ticker")
 
 
 @case(
@@ -109,7 +109,24 @@ def j14(v: Views):
     ),
 )
 def n02(v: Views):
-    return nw.dedup_first_wins(v.articles, finish_below=0).select("article_id", "url")
+    return nw.dedup_first_wins(v.articles).select("article_id", "url")
+
+
+@case(
+    "n02_dedup_two_days",
+    with_views(
+        _KEYS
+        + _greedy("(SELECT *, (CASE WHEN article_id % 2 = 0 THEN 0 ELSE 1000000000 END) + article_id AS nth FROM keyed)", "nth")
+        + "SELECT k.article_id, k.norm_url AS url FROM keyed k JOIN kept ON kept.nth % 1000000000 = k.article_id",
+        "articles",
+        recursive=True,
+    ),
+)
+def n02_two_days(v: Views):
+    """Even ids arrive first and are stored, odd ids a day later: the same as one pass over both days."""
+    one, two = v.articles.filter("article_id % 2 = 0"), v.articles.filter("article_id % 2 = 1")
+    first = nw.dedup_first_wins(one)
+    return first.unionByName(nw.dedup_first_wins(two, stored=first)).select("article_id", "url")
 
 
 @case(
@@ -142,7 +159,7 @@ def n03(v: Views):
     "n03_sentiment_joined", with_views(_SCORE + "SELECT article_id, round(sentiment_score, 8) AS sentiment_score FROM scores", "articles")
 )
 def n03_joined(v: Views):
-    df = nw.score_sentiment(v.articles, lexicon(v), inline=0)
+    df = nw.score_sentiment(v.articles, lexicon(v).union(lexicon(v)))
     return df.select("article_id", F.round("sentiment_score", 8).alias("sentiment_score"))
 
 

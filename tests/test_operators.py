@@ -37,13 +37,12 @@ def greedy(pairs):
     return kept
 
 
-@pytest.mark.parametrize("finish_below", [0, 10, 20_000])
-def test_dedup_keeps_what_an_ordered_pass_keeps(spark, finish_below):
+def test_dedup_keeps_what_an_ordered_pass_keeps(spark):
     rng = random.Random(3)
     pairs = [(i, f"u{0 if rng.random() < 0.35 else rng.randrange(60)}", f"h{rng.randrange(60)}") for i in range(400)]
     pairs += [(1000 + i, f"c{i // 2}", f"d{(i + 1) // 2}") for i in range(12)]
     keys = spark.createDataFrame(pairs, "_order long, _url string, _hash string")
-    got = [r[0] for r in rows(news.first_wins_keys(keys, finish_below), "_order")]
+    got = [r[0] for r in rows(news.first_wins_keys(keys), "_order")]
     assert got == greedy(pairs)
 
 
@@ -78,22 +77,39 @@ def test_company_match_equals_a_regex_scan(spark):
         for ticker, name, aliases, keywords in companies:
             if any(re.search(r"\b" + re.escape(t.lower()) + r"\b", body) for t in [name, ticker, *aliases, *keywords]):
                 want.append((i, ticker))
-    for inline in (100, 0):
-        assert rows(news.match_companies(df, terms, inline), "article_id", "ticker") == sorted(want)
+    assert rows(news.match_companies(df, terms), "article_id", "ticker") == sorted(want)
+    # Null and repeated ids: each row is matched by its own text.
+    loose = df.withColumn("n", F.col("article_id")).withColumn("article_id", F.when(F.col("n") > 4, 5))
+    assert rows(news.match_companies(loose, terms), "n", "ticker") == sorted(want)
 
 
-def test_scores_agree_for_inline_and_joined_lexicons(spark):
+def test_scores_with_repeated_words_and_ids(spark):
     df = spark.createDataFrame(
-        [(1, "Profit, profit and growth", "risk"), (2, "nothing", None), (3, "CRASH", "weak loss")],
+        [(1, "Profit, profit and growth", "risk"), (2, "nothing", None), (None, "CRASH", "weak loss"), (2, "profit", None), (3, None, None)],
         "article_id long, headline string, summary string",
     )
-    lexicon = news.default_lexicon(spark)
-    a = rows(news.score_sentiment(df, lexicon), "article_id", "sentiment_score")
-    b = rows(news.score_sentiment(df, lexicon, inline=0), "article_id", "sentiment_score")
-    assert np.allclose([x[1] for x in a], [x[1] for x in b])
-    s = 1.9 + 1.9 + 1.6 - 1.1
-    assert a[0][1] == pytest.approx(s / (s * s + 15) ** 0.5)
-    assert a[1][1] == 0
+    values = {"profit": 1.9, "growth": 1.6, "risk": -1.1, "crash": -2.6, "weak": -1.9, "loss": -1.7}
+    lexicon = spark.createDataFrame([*values.items(), ("profit", 1.9), ("risk", -1.1)], "word string, valence double")
+    got = {r["headline"]: r["sentiment_score"] for r in news.score_sentiment(df, lexicon).collect()}
+    compound = lambda s: s / (s * s + 15) ** 0.5
+    want = {"Profit, profit and growth": 1.9 + 1.9 + 1.6 - 1.1, "nothing": 0.0, "CRASH": -2.6 - 1.9 - 1.7, "profit": 1.9, None: 0.0}
+    assert got == pytest.approx({k: compound(s) for k, s in want.items()})
+
+
+def test_dedup_with_nulls_ties_and_stored_articles(spark):
+    articles = [
+        (1, "A story", None), (2, "A story", "http://x/1"), (3, "B story", "http://x/1"), (4, None, "http://x/2"), (5, None, "http://x/2"),
+        (6, None, None), (7, None, None), (8, "C story", None), (None, "C story", "http://x/9"), (None, "D story", "http://x/3"),
+        (9, "E story", "http://x/4"), (9, "E story", "http://x/4"), (9, "F story", "http://x/4"),
+    ]
+    df = spark.createDataFrame(articles, "article_id long, headline string, url string")
+    got = sorted(((r["article_id"], r["headline"]) for r in news.dedup_first_wins(df).collect()), key=str)
+    assert len(got) == len([x for x in got if x[0] != 9]) + 1
+    assert [x for x in got if x[0] != 9] == sorted(
+        [(1, "A story"), (3, "B story"), (4, None), (6, None), (7, None), (8, "C story"), (None, "D story")], key=str
+    )
+    again = news.dedup_first_wins(df, stored=news.dedup_first_wins(df)).collect()
+    assert {r["article_id"] for r in again} == {6, 7}
 
 
 def test_upsert_rules(spark):
