@@ -323,7 +323,7 @@ def judged(
     """One row per row of ``docs``: id, language, base counts, ``base_failed``, ``perplexity``, band and ``kept``.
 
     A language's band goes from the median of bits per byte of its texts that pass the base rules ``below``
-    and ``above`` robust standard deviations (1.4826 times the median deviation) down and up, at least
+    and ``above`` robust standard deviations (the interquartile range over 1.349) down and up, at least
     ``least`` bits; both ends belong to it. All counts and statistics cover all rows; a language without a passing
     text has no band. Null languages are one language of their own, a null text has no words and fails the
     base rules, repeated rows count as often as they come, an empty table gives no rows, other columns are
@@ -345,11 +345,12 @@ def judged(
 def verdicts(docs: DataFrame, below: float, above: float, id_col: str, text_col: str, lang_col: str, parts: int | None, least: float) -> DataFrame:
     """Rows of :func:`scored` with ``low``, ``high`` and ``kept``."""
     rows = settle(scored(docs, id_col, text_col, lang_col, parts), "quality")
-    good = rows.filter("not base_failed")
-    middle = good.groupBy("lang").agg(F.percentile_approx("bits", 0.5, 100_000).alias("middle"))
-    off = good.join(middle, "lang").groupBy("lang", "middle").agg(F.percentile_approx(F.abs(F.col("bits") - F.col("middle")), 0.5, 100_000).alias("off"))
-    half = lambda wide: F.greatest(F.col("off") * 1.4826 * wide, F.lit(float(least)))
-    bands = off.select("lang", (F.col("middle") - half(below)).alias("low"), (F.col("middle") + half(above)).alias("high"))
+    # One aggregation with partial sketches; nothing is dealt by language before it is summed.
+    quarters = F.percentile_approx("bits", [0.25, 0.5, 0.75], 10_000).alias("q")
+    spread = rows.filter("not base_failed").groupBy("lang").agg(quarters).filter("q is not null")
+    middle, sigma = F.col("q")[1], (F.col("q")[2] - F.col("q")[0]) / 1.349
+    half = lambda wide: F.greatest(sigma * wide, F.lit(float(least)))
+    bands = spread.select("lang", (middle - half(below)).alias("low"), (middle + half(above)).alias("high"))
     out = rows.join(bands, "lang", "left")
     inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(True))
     return out.withColumn("kept", ~F.col("base_failed") & inside)
