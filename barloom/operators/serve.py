@@ -162,14 +162,14 @@ def market_movers(quotes: DataFrame, k: int | None = None) -> DataFrame:
 
 
 def company_records(
-    scored: DataFrame, sentiment: DataFrame, articles: DataFrame, dividends: DataFrame, news_per_ticker: int = 5
+    scored: DataFrame, sentiment: DataFrame, articles: DataFrame, dividends: DataFrame, news_per_ticker: int = 5, models=MODELS
 ) -> DataFrame:
     """One nested record per ticker: latest predictions, ensemble, sentiment, news and dividend.
 
     Every source is first reduced to a bounded number of rows per ticker; the joins are on ticker.
     """
-    last = latest_per_ticker(scored, "date", "close", *[f"{m}_return" for m in MODELS])
-    last = ensemble(last)
+    last = latest_per_ticker(scored, "date", "close", *[f"{m}_return" for m in models])
+    last = ensemble(last, models)
     news = newest_articles(articles, news_per_ticker).groupBy("ticker").agg(
         F.sort_array(
             F.collect_list(
@@ -188,7 +188,7 @@ def company_records(
     )
     mood = latest_per_ticker(sentiment, "date", "sentiment_score").select("ticker", "sentiment_score")
     df = last.join(mood, "ticker", "left").join(news, "ticker", "left").join(dividend, "ticker", "left")
-    prices = [F.round(f"{m}_predicted_price", 2).alias(f"{m}_predicted_price") for m in MODELS]
+    prices = [F.round(f"{m}_predicted_price", 2).alias(f"{m}_predicted_price") for m in models]
     no_news = F.array().cast(news.schema["recent_news"].dataType)
     return df.select(
         "ticker",

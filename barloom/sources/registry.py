@@ -146,26 +146,29 @@ class Registry:
     def register(
         self, run_id: str, model_type: str, feature_set_version: str, tickers: list[str], results: DataFrame, trained_at=None, model_path=None
     ) -> None:
-        """Append results, summary and metadata of a run; the model itself is written by its library."""
-        results = results.withColumn("run_id", F.lit(run_id))
-        results.write.mode("append").parquet(f"{self.folder}/results")
-        stored = self.results().filter(F.col("run_id") == run_id)
-        run_summary(stored).write.mode("append").parquet(f"{self.folder}/summary")
+        """Store results, summary and metadata of a run; the model itself is written by its library.
+
+        Each run has folders of its own, so registering it again replaces it, and its summary reads
+        nothing but its own results.
+        """
+        path = f"{self.folder}/results/{run_id}"
+        results.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").parquet(path)
+        run_summary(self.spark.read.parquet(path)).write.mode("overwrite").parquet(f"{self.folder}/summary/{run_id}")
         stamp = F.current_timestamp() if trained_at is None else F.lit(trained_at).cast("timestamp")
         row = self.spark.createDataFrame(
             [(run_id, model_type, feature_set_version, tickers, "price", model_path)],
             "run_id string, model_type string, feature_set_version string, ticker_list array<string>, metric_space string, model_path string",
         )
-        row.withColumn("trained_at", stamp).write.mode("append").parquet(f"{self.folder}/runs")
+        row.withColumn("trained_at", stamp).write.mode("overwrite").parquet(f"{self.folder}/runs/{run_id}")
 
     def runs(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/runs")
+        return self.spark.read.parquet(f"{self.folder}/runs/*")
 
     def results(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/results")
+        return self.spark.read.parquet(f"{self.folder}/results/*")
 
     def summary(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/summary")
+        return self.spark.read.parquet(f"{self.folder}/summary/*")
 
     def promote(self, rules: PromotionRules = PromotionRules(), candidates: DataFrame | None = None) -> str | None:
         """Point production at the best qualifying run; without one the pointer stays as it is."""

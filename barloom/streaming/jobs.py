@@ -46,12 +46,22 @@ def streaming_sentiment(scored: DataFrame) -> DataFrame:
     )
 
 
-def upsert_stream(rows: DataFrame, path: str, rule: UpsertRule, checkpoint: str, date: str = "date", mode: str = "update"):
-    """Write a stream into a keyed table; each micro-batch is one upsert of the months it touches."""
+def upsert_stream(
+    rows: DataFrame, path: str, rule: UpsertRule, checkpoint: str, date: str = "date", mode: str = "update", order: str | None = None
+):
+    """Write a stream into a keyed table; each micro-batch is one upsert of the months it touches.
+
+    ``order`` decides between rows of one key inside a micro-batch. A micro-batch is computed once and
+    kept while it is applied.
+    """
 
     def apply(batch: DataFrame, _batch_id: int) -> None:
-        if not batch.isEmpty():
-            upsert_table(batch.sparkSession, path, batch, rule, date)
+        batch.persist()
+        try:
+            if not batch.isEmpty():
+                upsert_table(batch.sparkSession, path, batch, rule, date, order)
+        finally:
+            batch.unpersist()
 
     return run_available(rows.writeStream.outputMode(mode).foreachBatch(apply), checkpoint)
 
@@ -87,16 +97,31 @@ def latest_quotes(quotes: DataFrame) -> DataFrame:
 
 
 def run_live_movers(quotes: DataFrame, path: str, checkpoint: str | None = None, k: int | None = None) -> DataFrame:
-    """Rank the latest quotes after each micro-batch; the table always holds the newest rankings."""
+    """Rank the latest quotes after each micro-batch into a folder of its own; see :func:`newest_rankings`."""
     spark = quotes.sparkSession
 
-    def rank(batch: DataFrame, _batch_id: int) -> None:
+    def rank(batch: DataFrame, batch_id: int) -> None:
         change = F.col("price") - F.col("_first")
         rows = batch.select(
             "ticker", "price", change.alias("change"), (F.try_divide(change, F.col("_first")) * 100).alias("change_percent"), "volume"
         )
-        market_movers(rows, k).write.mode("overwrite").parquet(path)
+        # A replayed batch rewrites its own folder; readers stay on the last complete one meanwhile.
+        market_movers(rows, k).write.mode("overwrite").parquet(f"{path}/batch-{batch_id:012d}")
+        for old in _complete(spark, path)[:-2]:
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     writer = latest_quotes(quotes).writeStream.outputMode("complete").foreachBatch(rank)
     run_available(writer, checkpoint or fresh_path(spark, "checkpoint"))
-    return spark.read.parquet(path)
+    return newest_rankings(spark, path)
+
+
+def _complete(spark: SparkSession, path: str) -> list:
+    """Folders of finished batches, oldest first."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch-*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return sorted((s.getPath().getParent() for s in found), key=lambda p: p.getName())
+
+
+def newest_rankings(spark: SparkSession, path: str) -> DataFrame:
+    """The rankings of the last batch that was written completely."""
+    return spark.read.parquet(_complete(spark, path)[-1].toString())

@@ -499,6 +499,25 @@ def m10(v: Views):
     return df.join(known, "run_id", "left_semi").select("metric", F.round("value", 4).alias("value"))
 
 
+@case(
+    "m10_register_twice",
+    with_views(
+        _SUMMARY + "SELECT metric, round(value, 4) AS value FROM summ WHERE run_id = 'rf' AND ticker IS NULL AND value IS NOT NULL",
+        "predictions",
+    ),
+)
+def m10_twice(v: Views):
+    """Registering a run again replaces it."""
+    from barloom.session import fresh_path
+
+    registry = rg.Registry(v.spark, fresh_path(v.spark, "registry"))
+    rows = results(v).select("ticker", *rg.NUMERIC)
+    for _ in range(2):
+        registry.register("rf", "baseline", "v2", ["S1"], rows)
+    df = registry.summary().filter("ticker is null and value is not null")
+    return df.join(registry.runs().select("run_id"), "run_id").select("metric", F.round("value", 4).alias("value"))
+
+
 def registered(v: Views):
     from barloom.session import fresh_path
 
