@@ -46,12 +46,12 @@ def _shares(cells: DataFrame, margin: str, shares: dict[str, float] | float) ->
     if isinstance(shares, dict):
         named = F.coalesce(*[F.when(F.col(margin) == k, F.lit(float(v))) for k, v in shares.items()])
         rest = max(0.0, 1.0 - sum(shares.values()))
-        whole = sums.agg(F.sum(F.when(named.isNull(), F.col("t"))).alias("open"))
-        raw = sums.join(F.broadcast(whole)).withColumn("s", F.coalesce(named, F.lit(rest) * F.col("t") / F.col("open")))
+        open_ = sums.agg(F.sum(F.when(named.isNull(), F.col("t")))).first()[0] or 1
+        raw = sums.withColumn("s", F.coalesce(named, F.lit(rest) * F.col("t") / F.lit(open_)))
     else:
         raw = sums.withColumn("s", F.pow(F.col("t").cast("double"), F.lit(float(shares))))
-    total = raw.agg(F.sum("s").alias("all"))  # one row
-    return raw.join(F.broadcast(total)).select(F.col(margin).alias("_m"), (F.col("s") / F.col("all")).alias("_share"))
+    total = raw.agg(F.sum("s")).first()[0] or 1.0
+    return raw.select(F.col(margin).alias("_m"), (F.col("s") / F.lit(total)).alias("_share"))
 
 
 def rake(cells: DataFrame, margins: dict[str, dict[str, float] | float], rounds: int = ROUNDS) -> DataFrame:
@@ -61,24 +61,25 @@ def rake(cells: DataFrame, margins: dict[str, dict[str, float] | float], rounds:
     so the plan stays short. Cells without tokens are left out.
     """
     cells = settle(cells.filter("tokens > 0").withColumn("fitted", F.col("tokens").cast("double")), "cells")
-    shares = {m: settle(_shares(cells, m, s), "shares") for m, s in margins.items()}
+    for m, target in margins.items():
+        share = _shares(cells, m, target).withColumnRenamed("_share", f"_share_{m}")
+        cells = cells.join(share, cells[m].eqNullSafe(share["_m"])).drop("_m")
+    cells = settle(cells, "cells")
     for _ in range(rounds):
-        for m, share in shares.items():
-            now = cells.groupBy(F.col(m).alias("_m")).agg(F.sum("fitted").alias("_now"))
+        for m in margins:
             # One row per category of the margin; the optimizer broadcasts it if it is small.
-            scale = now.join(share, now["_m"].eqNullSafe(share["_m"])).select(now["_m"], (share["_share"] / now["_now"]).alias("_by"))
+            scale = cells.groupBy(F.col(m).alias("_m")).agg((F.max(f"_share_{m}") / F.sum("fitted")).alias("_by"))
             scaled = cells.join(scale, cells[m].eqNullSafe(scale["_m"]))
             cells = scaled.withColumn("fitted", F.col("fitted") * F.col("_by")).drop("_m", "_by")
         cells = settle(cells, "cells")
-    return cells
+    return cells.drop(*[f"_share_{m}" for m in margins])
 
 
 def rates(cells: DataFrame, margins: dict, fraction: float, rounds: int = ROUNDS) -> DataFrame:
     """``(source, lang, topic, weight, probability)``: weight is the fitted over the given token share."""
     fitted = rake(cells, margins, rounds)
-    total = fitted.agg(F.sum("tokens").alias("_all"))  # one row
-    weight = F.col("fitted") * F.col("_all") / F.col("tokens")
-    found = fitted.join(F.broadcast(total)).withColumn("weight", weight)
+    total = fitted.agg(F.sum("tokens")).first()[0] or 0
+    found = fitted.withColumn("weight", F.col("fitted") * F.lit(total) / F.col("tokens"))
     return found.select(*CELL, "weight", F.least(F.lit(1.0), F.col("weight") * fraction).alias("probability"))
 
 
