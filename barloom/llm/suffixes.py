@@ -29,6 +29,8 @@ _SLAB = 500_000
 _SORTED = 1_000_000
 _LAST = np.iinfo(np.int64).max
 _NONE = np.zeros((0, 4), dtype=np.int64)
+#: Bytes before a context's own that say how far its anchor is from its start.
+_HEAD = 2
 
 
 def _packed(array: np.ndarray) -> bytes:
@@ -146,8 +148,8 @@ def _extreme(v: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
-def anchor_runs(x: np.ndarray, last: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of string starts with one anchor: (anchor's hash, first start, number of starts).
+def anchor_runs(x: np.ndarray, last: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of string starts with one anchor: (anchor's hash, first start, number of starts, start to anchor).
 
     ``last`` holds for each text (exclusive end) how far its starts go; ``x`` has eight spare zero bytes.
     """
@@ -160,7 +162,7 @@ def anchor_runs(x: np.ndarray, last: np.ndarray, span: int, gram: int) -> tuple[
         begin = end
     if not valid.any():
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none, none, none
     word = np.ndarray(shape=(n + 1,), dtype="<u8", buffer=x, strides=(1,))
     h = np.zeros(n, dtype=np.uint64)
     m = n - gram + 1
@@ -191,7 +193,7 @@ def anchor_runs(x: np.ndarray, last: np.ndarray, span: int, gram: int) -> tuple[
         at[todo] += 1
     cut = group_starts(place, np.concatenate(([0], np.cumsum(np.diff(starts) > 1))))
     length = np.diff(np.append(cut, len(starts)))
-    return h[place[cut]], starts[cut], length
+    return h[place[cut]], starts[cut], length, place[cut] - starts[cut]
 
 
 def _slabs(bodies: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -213,7 +215,7 @@ _MESSAGE = "bucket int, part int, n long, starts binary, sizes binary, ids binar
 
 
 def repeated_spans(
-    docs: DataFrame, span: int = 100, gram: int = 32, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None
+    docs: DataFrame, span: int = 100, gram: int = 32, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, crowd: int = 4 * _SORTED
 ) -> DataFrame:
     """``id_col, n_bytes, n_removed, n_spans, kept_sha256`` for every row.
 
@@ -223,7 +225,7 @@ def repeated_spans(
     ``span`` stay whole; an empty table gives no rows; other columns are ignored.
 
     Texts are dealt once to twice ``parts`` groups (the number of shuffle partitions if not given), and all three
-    passes over them read that exchange. What moves besides is one hash per anchor, one bit back, and the
+    passes over them read that exchange. ``crowd`` bytes of contexts of one anchor are taken apart by distance. What moves besides is one hash per anchor, one bit back, and the
     distinct contexts of repeated anchors.
     """
     spark = docs.sparkSession
@@ -277,17 +279,17 @@ def repeated_spans(
             flags[cut[r["bucket"]] : cut[r["bucket"]] + r["n"]] = np.unpackbits(np.frombuffer(r["often"], np.uint8), count=r["n"])
         held: dict[tuple[int, bytes], tuple[int, int, int]] = {}
         known = array("q")
-        for first, x, ends, keys, starts, lengths in runs:
+        for first, x, ends, keys, starts, lengths, offsets in runs:
             often = np.flatnonzero(flags[np.searchsorted(every, keys)])
             raw = x.tobytes()
             doc = np.searchsorted(ends, starts[often], side="right")
             at = starts[often] - np.concatenate(([0], ends))[doc]
             whole = zip(
-                keys[often].tolist(), starts[often].tolist(), (starts + lengths - 1 + span)[often].tolist(),
+                keys[often].tolist(), starts[often].tolist(), (starts + lengths - 1 + span)[often].tolist(), offsets[often].tolist(),
                 ids[first + doc].tolist(), ties[first + doc].tolist(), at.tolist(), strict=True,
             )
-            for k, a, b, doc_id, tie, start in whole:
-                _meet(held, known, (k, raw[a:b]), (doc_id, tie, start))
+            for k, a, b, offset, doc_id, tie, start in whole:
+                _meet(held, known, (k, offset.to_bytes(2, "little") + raw[a:b]), (doc_id, tie, start))
         del runs
         by: dict[int, list] = {}
         where = buckets(np.fromiter((k for k, _ in held), np.uint64, len(held))).tolist()
@@ -310,7 +312,7 @@ def repeated_spans(
                 for k, v in entries:
                     of[v[:2]] = r["part"]
                     _meet(held, late, k, v)
-        found = np.concatenate([np.array(late, dtype=np.int64).reshape(-1, 4), *_repeated(held, span)])
+        found = np.concatenate([np.array(late, dtype=np.int64).reshape(-1, 4), *_repeated(held, span, crowd)])
         part = np.array([of[i, tie] for i, tie in zip(found[:, 0].tolist(), found[:, 1].tolist(), strict=True)], dtype=np.int64)
         done += [(p, found[part == p]) for p in np.unique(part).tolist()]
         return _rows([_message(-1, p, [], rows) for p, rows in done if len(rows)], _schema(_MESSAGE))
@@ -362,7 +364,7 @@ def _schema(text: str) -> pa.Schema:
 
 def _meet(held: dict, known: array, context: tuple[int, bytes], at: tuple[int, int, int]) -> None:
     """Keep the earliest place of a context; the bytes of every other place are known to be repeats."""
-    size = len(context[1])
+    size = len(context[1]) - _HEAD
     before = held.get(context)
     if before is None or at < before:
         held[context] = at
@@ -394,7 +396,7 @@ def _read_message(r: dict) -> tuple[list, np.ndarray]:
     return entries, np.stack([_unpacked(r[c], r["known"], "<i8") for c in names], axis=1) if r["known"] else _NONE
 
 
-def _repeated(held: dict, span: int) -> Iterator[np.ndarray]:
+def _repeated(held: dict, span: int, crowd: int) -> Iterator[np.ndarray]:
     """Byte ranges of strings that start earlier in another distinct context under the same anchor hash."""
     by: dict[int, list] = {}
     while held:  # taken over one by one, so nothing is held twice
@@ -403,9 +405,12 @@ def _repeated(held: dict, span: int) -> Iterator[np.ndarray]:
     batch: list[tuple] = []
     total = 0
     for group in by.values():
-        if len(group) > 1:
+        size = sum(len(body) for _, body, _ in group)
+        if len(group) > 1 and size > crowd:
+            yield _crowded_repeats(group, span)
+        elif len(group) > 1:
             batch += group
-            total += sum(len(body) for _, body, _ in group)
+            total += size
             if total >= _SORTED:
                 yield from _sorted_repeats(batch, span)
                 batch, total = [], 0
@@ -414,8 +419,8 @@ def _repeated(held: dict, span: int) -> Iterator[np.ndarray]:
 
 
 def _sorted_repeats(batch: list[tuple], span: int) -> Iterator[np.ndarray]:
-    x = np.frombuffer(b"".join(body for _, body, _ in batch) + b"\0" * 8, dtype=np.uint8)
-    sizes = np.array([len(body) for _, body, _ in batch])
+    x = np.frombuffer(b"".join(body[_HEAD:] for _, body, _ in batch) + b"\0" * 8, dtype=np.uint8)
+    sizes = np.array([len(body) - _HEAD for _, body, _ in batch])
     begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     counts = sizes - span + 1
     where = np.repeat(begins - (np.cumsum(counts) - counts), counts)
@@ -446,10 +451,55 @@ def _sorted_repeats(batch: list[tuple], span: int) -> Iterator[np.ndarray]:
         yield _late_strings(x, own, ids[of], ties[of], starts[of] + own - begins[of], span)
 
 
+def _crowded_repeats(group: list[tuple], span: int) -> np.ndarray:
+    """:func:`_sorted_repeats` for very many contexts of one anchor, as at the edges of a common passage.
+
+    Equal strings are equally far from the anchor, so distances are taken one by one: equal strings are
+    collapsed after comparing all their bytes, and suffixes are sorted only where a mix misleads.
+    """
+    x = np.frombuffer(b"".join(body[_HEAD:] for _, body, _ in group) + b"\0" * 8, dtype=np.uint8)
+    sizes = np.array([len(body) - _HEAD for _, body, _ in group])
+    begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    offsets = np.array([int.from_bytes(body[:_HEAD], "little") for _, body, _ in group])
+    ids, ties, starts = (np.array([p[i] for _, _, p in group]) for i in range(3))
+    group.clear()
+    counts = sizes - span + 1
+    late = np.zeros((len(sizes), int(counts.max()) + 1), dtype=np.int8)
+    rest = []
+    for distance in range(int(offsets.max()) + 1):
+        inside = offsets - distance
+        rows = np.flatnonzero((inside >= 0) & (inside < counts))
+        where = begins[rows] + inside[rows]
+        mix = np.zeros(len(rows), dtype=np.uint64)
+        for at in (0, span // 2 - 4, span - 8):
+            mix = (mix ^ _words(x, where + at)) * np.uint64(0x9E3779B97F4A7C15)
+            mix ^= mix >> np.uint64(29)
+        order = np.lexsort((starts[rows] + inside[rows], ties[rows], ids[rows], mix))
+        rows, where, mix = rows[order], where[order], mix[order]
+        heads = group_starts(mix)
+        first = np.repeat(heads, np.diff(np.append(heads, len(mix))))
+        same = np.ones(len(rows), dtype=bool)
+        for at in [*range(0, span - 8, 8), span - 8]:
+            same &= _words(x, where + at) == _words(x, where[first] + at)
+        odd = np.isin(first, first[~same])
+        if odd.any():
+            of = rows[odd]
+            rest.append(_late_strings(x, where[odd], ids[of], ties[of], starts[of] + inside[of], span))
+        place = np.stack((ids[rows], ties[rows], starts[rows] + inside[rows]))
+        behind = ~odd & (place != place[:, first]).any(axis=0)
+        late[rows[behind], inside[rows[behind]]] = 1
+    edge = np.diff(late, axis=1, prepend=0)
+    row, begin = np.nonzero(edge == 1)
+    _, end = np.nonzero(edge == -1)
+    return np.concatenate((np.stack((ids[row], ties[row], starts[row] + begin, starts[row] + end - 1 + span), axis=1), *rest))
+
+
 def _late_strings(x: np.ndarray, where: np.ndarray, ids: np.ndarray, ties: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
     """Rows (id, tie, from, upto) covered by the strings at ``where`` that an earlier place holds too."""
     if not len(where):
         return np.zeros((0, 4), np.int64)
+    order = np.argsort(where)
+    where, ids, ties, at = where[order], ids[order], ties[order], at[order]
     # Only the covered bytes are sorted: runs of starts close to each other stay in one piece.
     runs = np.flatnonzero(np.concatenate(([True], np.diff(where) > span)))
     first, last = where[runs], where[np.append(runs[1:], len(where)) - 1] + span

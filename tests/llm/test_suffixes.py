@@ -58,9 +58,9 @@ def test_removal_equals_brute_force(spark):
     rows += [(None, texts[5], "l", 2), (2, texts[2], "l", 3), (2, texts[9], "l", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, part string, tie int")
     hashes = [r[0] for r in docs.select(F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
-    for span, gram in ((100, 32), (20, 8)):
+    for span, gram, crowd in ((100, 32, 10**6), (20, 8, 10**6), (100, 32, 0), (20, 8, 0)):
         want = brute([(i, t, h) for (i, t, *_), h in zip(rows, hashes, strict=True)], span)
-        got = repeated_spans(docs, span, gram, parts=5).collect()
+        got = repeated_spans(docs, span, gram, parts=5, crowd=crowd).collect()
         key = lambda r: tuple(str(v) for v in r)
         assert sorted(map(tuple, got), key=key) == sorted(((k[0], *want[k]) for k in ((r[0], r[1], h) for r, h in zip(rows, hashes, strict=True))), key=key)
     assert repeated_spans(docs.limit(0)).count() == 0
