@@ -26,7 +26,7 @@ from barloom.llm.common import group_starts, text_of
 #: Bytes of text looked at together; a longer text is looked at alone.
 _SLAB = 500_000
 #: Bytes whose suffixes are sorted together.
-_SORTED = 1_000_000
+_SORTED = 500_000
 _LAST = np.iinfo(np.int64).max
 _NONE = np.zeros((0, 4), dtype=np.int64)
 #: Bytes before a context's own that say how far its anchor is from its start.
@@ -193,7 +193,9 @@ def anchor_runs(x: np.ndarray, last: np.ndarray, span: int, gram: int) -> tuple[
         at[todo] += 1
     cut = group_starts(place, np.concatenate(([0], np.cumsum(np.diff(starts) > 1))))
     length = np.diff(np.append(cut, len(starts)))
-    return h[place[cut]], starts[cut], length, place[cut] - starts[cut]
+    # Anchors have small upper halves by choice; the lower halves are even and go first.
+    key = h[place[cut]]
+    return (key << np.uint64(32)) | (key >> np.uint64(32)), starts[cut], length, place[cut] - starts[cut]
 
 
 def _slabs(bodies: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -215,7 +217,7 @@ _MESSAGE = "bucket int, part int, n long, starts binary, sizes binary, ids binar
 
 
 def repeated_spans(
-    docs: DataFrame, span: int = 100, gram: int = 32, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, crowd: int = 4 * _SORTED
+    docs: DataFrame, span: int = 100, gram: int = 32, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, crowd: int = _SORTED
 ) -> DataFrame:
     """``id_col, n_bytes, n_removed, n_spans, kept_sha256`` for every row.
 
@@ -440,15 +442,10 @@ def _sorted_repeats(batch: list[tuple], span: int) -> Iterator[np.ndarray]:
         return
     found = [low + np.flatnonzero(np.isin(mix[low : low + _SORTED], twice)) for low in range(0, len(mix), _SORTED)]
     alike = np.concatenate(found)
-    mix, where = mix[alike], where[alike]
-    # Equal strings share the mix, so slices of it can be sorted apart when a group is large.
-    slices = -(-len(alike) * span // (8 * _SORTED))
+    where = where[alike]
     ids, ties, starts = (np.array([p[i] for _, _, p in batch]) for i in range(3))
-    part = (mix >> np.uint64(32)) % np.uint64(slices)
-    for k in range(slices):
-        own = where[part == k]
-        of = np.searchsorted(begins, own, side="right") - 1
-        yield _late_strings(x, own, ids[of], ties[of], starts[of] + own - begins[of], span)
+    of = np.searchsorted(begins, where, side="right") - 1
+    yield _late_strings(x, where, ids[of], ties[of], starts[of] + where - begins[of], span)
 
 
 def _crowded_repeats(group: list[tuple], span: int) -> np.ndarray:
