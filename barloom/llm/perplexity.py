@@ -24,8 +24,9 @@ ORDER = 5
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: Width of a band below and above the median in robust standard deviations of bits per byte, and at least
-#: so many bits each way. Short texts scatter further down than up, as common phrases weigh more in them.
-BELOW, ABOVE, LEAST_BAND = 12.0, 6.0, 0.15
+#: so many bits each way: one bit is half or twice the median perplexity. Short texts scatter further down
+#: than up, as common phrases weigh more in them; clean texts that mix languages scatter upwards.
+BELOW, ABOVE, LEAST_BAND = 12.0, 6.0, 1.0
 _SLAB = 2_000_000
 _BLANK = [9, 10, 11, 12, 13, 32]
 
