@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 from barloom.session import prepare
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of the given tables, read by Spark whatever store the folder is in."""
+def configured(spark: SparkSession) -> SparkSession:
+    """The session with the settings that jobs on texts expect."""
     # Texts can be long: small Arrow batches keep a Python worker's memory bounded.
     prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One of the given tables, read by Spark whatever store the folder is in."""
+    return configured(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def text_of(column: str = "text") -> Column:
