@@ -126,14 +126,17 @@ def walk_forward_windows(
     return df.withColumn("_n", total).filter("_n >= 3").drop("_n")
 
 
-def rows_in_windows(panel: DataFrame, windows: DataFrame, role: str, max_windows: int = 5000) -> DataFrame:
+def rows_in_windows(panel: DataFrame, windows: DataFrame, role: str) -> DataFrame:
     """Rows of the panel once per window they train or test in.
 
     The windows are spelled out as (day, window) rows, so the range condition becomes an equi join on
-    the date against a calendar-sized table.
+    the date against that table. It is broadcast only if the days of the given windows, counted first,
+    stay below the limit; training windows of a long calendar may not.
     """
+    length = F.datediff(f"{role}_end", f"{role}_start") + 1
+    rows = windows.agg(F.sum(length)).first()[0] or 0
     days = windows.select("*", F.explode(F.sequence(f"{role}_start", f"{role}_end")).alias("date"))
-    return panel.join(broadcast_within(days, max_windows * 60, _WINDOW_ROW_BYTES), "date")
+    return panel.join(broadcast_within(days, rows, _WINDOW_ROW_BYTES), "date")
 
 
 # -------------------------------------------------------------------- metrics

@@ -91,3 +91,19 @@ def test_scored_history_has_only_models_that_exist(spark):
     served = daily.serving_tables(scored, tables, articles)
     assert {k: v.count() > 0 for k, v in served.items()} == dict.fromkeys(served, True)
     assert "lstm_predicted_price" not in served["records"].columns
+
+
+def test_windows_are_broadcast_only_by_their_counted_days(spark, monkeypatch):
+    from barloom import session
+    from barloom.operators.evaluate import rows_in_windows
+
+    first = dt.date(2024, 1, 1)
+    windows = spark.createDataFrame([(i, first + dt.timedelta(i), first + dt.timedelta(i + 9)) for i in range(5)], "window_idx int, test_start date, test_end date")
+    panel = spark.createDataFrame([("A", first + dt.timedelta(i)) for i in range(12)], "ticker string, date date")
+    counts = []
+    for limit in (session.BROADCAST_LIMIT_BYTES, 100):
+        monkeypatch.setattr(session, "BROADCAST_LIMIT_BYTES", limit)
+        got = rows_in_windows(panel, windows, "test")
+        counts.append(got.count())
+        assert ("strategy=broadcast" in got._jdf.queryExecution().analyzed().toString()) == (limit > 100)
+    assert counts == [47, 47]  # 10 + 10 + 10 + 9 + 8 days of the panel
