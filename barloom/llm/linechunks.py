@@ -71,8 +71,9 @@ def drop_repeated_chunks(
         F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text, F.lit(1)).alias("hash")
     )
     # The row travels as one column, so that no name of it can clash.
-    keyed = docs.select(F.struct("*").alias("_row"), key.alias("_key"), text.alias("_text"))
-    pieces = keyed.select("_key", F.posexplode(chunks(F.col("_text"), window, divisor)).alias("place", "lines"))
+    keyed = docs.select(F.struct("*").alias("_row"), key.alias("_key"))
+    body = F.coalesce(F.col("_row")[text_col].cast("string"), F.lit(""))
+    pieces = keyed.select("_key", F.posexplode(chunks(body, window, divisor)).alias("place", "lines"))
     pieces = pieces.filter(F.size("lines") > 1).withColumn("body", F.concat_ws("\n", "lines"))
     pieces = pieces.filter(F.col("body").rlike(HAS_WORD)).withColumn("sign", F.xxhash64("body"))
     # Signs are counted without their texts; only texts of repeated signs are shuffled for comparison.
@@ -82,11 +83,11 @@ def drop_repeated_chunks(
     first = held.groupBy("sign", "body").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1")
     later = held.join(first, ["sign", "body"]).filter(at != F.col("first")).select("_key", "place")
     dropped = later.groupBy("_key").agg(F.array_sort(F.collect_set("place")).alias("_dropped"))
-    marked = keyed.join(dropped, "_key", "left").withColumn("_parts", chunks(F.col("_text"), window, divisor))
+    marked = keyed.join(dropped, "_key", "left").withColumn("_parts", chunks(body, window, divisor))
     kept = F.filter("_parts", lambda _, k: ~F.array_contains(F.col("_dropped"), k))
     left = F.concat_ws("\n", F.flatten(kept))
     row = F.col("_row")
-    body = F.when(F.col("_dropped").isNull(), row[text_col]).otherwise(left)
-    columns = [body.alias(c) if c == text_col else row[c].alias(c) for c in docs.columns if c not in ("_chunks", "_dropped")]
+    new = F.when(F.col("_dropped").isNull(), row[text_col]).otherwise(left)
+    columns = [new.alias(c) if c == text_col else row[c].alias(c) for c in docs.columns if c not in ("_chunks", "_dropped")]
     none = F.array().cast("array<int>")
     return marked.select(*columns, F.size("_parts").alias("_chunks"), F.coalesce("_dropped", none).alias("_dropped"))
