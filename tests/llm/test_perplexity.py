@@ -89,3 +89,39 @@ def test_bands_reject_what_is_unlike_its_language(spark):
     kept = {r["doc_id"]: r["kept"] for r in judged(docs, parts=3, least=0.15).collect()}
     assert not kept[200] and all(kept[i] for i in range(200))
     assert judged(docs.limit(0)).count() == 0
+
+
+def test_held_out_grams_are_those_of_a_model_without_them():
+    import numpy as np
+
+    from barloom.llm.perplexity import Bucket, _merged, bits, counted
+
+    rng = random.Random(6)
+    part = lambda: [bytes(rng.choices(b"abcd ", k=400))]
+    ours, others = counted(part()), counted(part())
+    keys, n = _merged([ours[0], others[0]], [ours[1], others[1]])
+    tables, pairs = [np.array([0.5, 1.0, 1.5])] * 3, np.linspace(0.01, 0.9, 65536)
+    got = Bucket(keys, n, tables, pairs).held_out(np.searchsorted(keys, ours[0]), ours[1])
+    both = np.isin(ours[0], others[0])
+    want = bits(*others, tables, pairs)[np.searchsorted(others[0], ours[0][both])]
+    assert both.any() and not both.all()
+    assert got[both] == pytest.approx(want)
+    assert got[~both].min() > 0 and np.isfinite(got).all()
+
+
+def test_default_bands_reject_noise_and_keep_mixed_languages(spark):
+    """Noise beside clean texts in two languages; texts that mix the two and one with a key stay."""
+    from barloom.llm.perplexity import judged
+
+    rng = random.Random(8)
+    tails = {"en": ("", "s", "ing", "er", "ed", "ly", "ful"), "de": ("", "en", "ung", "heit", "lich", "bar", "te")}
+    stems = {"en": ("stone", "river", "winter", "house", "garden", "walk"), "de": ("straß", "fluß", "wand", "haus", "gärt", "kauf")}
+    words = {k: [a + b for a in stems[k] for b in tails[k]] for k in tails}
+    clean = {k: [" ".join(rng.choices(words[k], k=90)) for _ in range(150)] for k in words}
+    mixed = [" ".join(rng.choices(words["en"], k=60) + rng.choices(words["de"], k=40)) for _ in range(3)]
+    key = " ".join(rng.choices(words["en"], k=90)) + " " + "".join(rng.choices("0123456789abcdef", k=20))
+    noise = [" ".join("".join(rng.choices(letters, k=6)) for _ in range(90)) for letters in ("qxzjkvw0123456789", "abcdefghijklmnopqrstuvwxyz")]
+    rows = [(t, k) for k in clean for t in clean[k]] + [(t, "en") for t in (*mixed, key, *noise)]
+    docs = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(rows)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"]: r["kept"] for r in judged(docs).collect()}
+    assert [i for i, ok in kept.items() if not ok] == [304, 305]
