@@ -1,7 +1,8 @@
 """Mixing by iterative proportional fitting, in DataFrame functions only.
 
 Token counts are summed into cells of (source, language, topic). Raking scales the cells to each
-marginal in turn until all hold at once; a document is then drawn with its cell's calibrated rate.
+marginal in turn until all hold at once; a document is then drawn with its cell's calibrated rate. A rate
+above one gives whole repeats and a drawn fraction, so that the drawn tokens meet the marginals.
 """
 
 from __future__ import annotations
@@ -98,13 +99,14 @@ def mixed(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``docs`` with ``topic, tokens, weight, probability, kept``.
+    """``docs`` with ``topic, tokens, weight, probability, kept, copies``.
 
-    Null sources and languages are categories of their own. A document in a cell without tokens has weight
-    one and is kept, as it adds nothing. A rate above one is cut to one: the cell gives all it has. Equal
-    ids are drawn alike; an empty table gives no rows; columns named like the new ones are replaced.
+    ``copies`` says how often the mix holds the document: the whole part of its rate (weight times
+    ``fraction``), and one more with the rest as probability. ``probability`` and ``kept`` are of one copy at
+    least. Null sources and languages are categories of their own. A document in a cell without tokens has
+    weight one and is kept once, as it adds nothing. Equal ids are drawn alike; an empty table gives no rows; columns named like the new ones are replaced.
     """
-    named = described(docs.drop("weight", "probability", "kept"), text_col)
+    named = described(docs.drop("weight", "probability", "kept", "copies"), text_col)
     return mixed_described(named, margins, fraction, rounds, seed, id_col)
 
 
@@ -125,9 +127,18 @@ def mixed_described(
     rows = named.select(F.struct("*").alias("row"), F.struct(*CELL).alias("own"), draw(id_col, seed).alias("draw"))
     joined = rows.join(rate, F.col("own").eqNullSafe(F.col("cell")), "left")
     probability = F.coalesce("probability", F.lit(1.0))
+    rate_of = F.coalesce(F.col("weight") * fraction, F.lit(1.0))
+    whole = F.floor(rate_of)
     return joined.select(
         "row.*",
         F.coalesce("weight", F.lit(1.0)).alias("weight"),
         probability.alias("probability"),
         (F.col("draw") < probability).alias("kept"),
+        (whole + (F.col("draw") < rate_of - whole).cast("long")).cast("long").alias("copies"),
     )
+
+
+def repeated(drawn: DataFrame) -> DataFrame:
+    """Rows of :func:`mixed` as often as ``copies`` says."""
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
+    return drawn.filter("copies > 0").select("*", times).drop("_copy")

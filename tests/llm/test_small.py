@@ -294,6 +294,23 @@ def test_rates_hold_the_marginals(spark):
     assert kept["a"] == pytest.approx(1500, rel=0.1) and kept["b"] == pytest.approx(500, rel=0.15)
 
 
+def test_drawn_shares_hold_the_marginals_above_rate_one(spark):
+    from barloom.llm.mixing import mixed, repeated
+
+    def row(i):
+        return (i, "one two three" + (" | " if i % 10 == 0 else ""), "de" if i % 7 == 0 else "en", "b" if i % 12 == 0 else "a")
+
+    shares = {"source": {"a": 0.6, "b": 0.4}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"table": 0.3, "prose": 0.7}}
+    found = mixed(frame(spark, [row(i) for i in range(12_000)]), shares, fraction=0.5).localCheckpoint()
+    drawn, total = repeated(found), found.agg(F.sum("tokens")).first()[0]
+    assert found.filter("weight * 0.5 > 1").count() > 0
+    assert found.filter("kept <> (copies > 0)").count() == 0
+    assert drawn.agg(F.sum("tokens")).first()[0] == pytest.approx(total * 0.5, rel=0.03)
+    for margin, want in shares.items():
+        sums = {r[0]: r[1] for r in drawn.groupBy(margin).agg(F.sum("tokens")).collect()}
+        assert {k: v / sum(sums.values()) for k, v in sums.items()} == pytest.approx(want, abs=0.02)
+
+
 def test_mixing_odd_rows(spark):
     from barloom.llm.mixing import mixed
 
