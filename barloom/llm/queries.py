@@ -173,5 +173,98 @@ def op10_quotes(spark: SparkSession, folder: str) -> DataFrame:
     return reply_order(table(spark, folder, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_chunks, op2_simhash, op3_packing, op4_sharding, op5_personal_data, op6_perplexity, op7_projections, op8_suffixes, op9_mixing, op10_quotes)}
-SQL: dict[str, str] = {"op1_line_chunks": OP1_SQL, "op9_mixing": _op9_sql()}
+def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """All embeddings in forty clusters after five rounds over a pivot table."""
+    from barloom.llm.centroids import cluster, described
+
+    return described(*cluster(table(spark, folder, "embeddings")))
+
+
+def _op11_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every vector against every centroid, unrolled by rounds; integers throughout."""
+    floor = "(s - ((s % n) + n) % n) // n"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(
+            f"""d{r} AS MATERIALIZED (SELECT vec_id, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (
+    SELECT v.vec_id, c.cluster, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM v JOIN c{r} c USING (pos) GROUP BY 1, 2) GROUP BY 1)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""c{r + 1} AS MATERIALIZED (SELECT c.cluster, c.pos, coalesce(({floor})::BIGINT, c.x) AS x FROM c{r} c LEFT JOIN (
+    SELECT cluster, pos, sum(x) AS s, count(*) AS n FROM v JOIN d{r} USING (vec_id) GROUP BY 1, 2) m USING (cluster, pos))"""
+            )
+    return f"""
+WITH good AS (
+  SELECT vec_id, embedding AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS MATERIALIZED (
+  SELECT vec_id, unnest(range(1, 65)) AS pos, unnest(list_transform(e, lambda x: floor(256 * x::DOUBLE)::BIGINT)) AS x FROM good
+), seeds AS (
+  SELECT vec_id, row_number() OVER (ORDER BY h) - 1 AS cluster FROM (SELECT vec_id, sha256('2:' || vec_id) AS h FROM good ORDER BY h LIMIT {k})
+), c0 AS MATERIALIZED (SELECT cluster, pos, x FROM v JOIN seeds USING (vec_id)),
+{", ".join(steps)},
+names AS (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY pos)) AS centroid_sha256 FROM c{rounds} GROUP BY 1)
+SELECT vec_id, cluster::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM d{rounds} JOIN names USING (cluster)
+"""
+
+
+def op12_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in all documents, by rules and by a network over every candidate."""
+    from barloom.llm.credentials import KINDS, find_secrets, written
+
+    found = find_secrets(table(spark, folder, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [
+        (F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS[:3])
+    ]
+    learned = (F.size("spans") - F.size("base")).cast("long").alias("n_learned")
+    return found.select(
+        "doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), learned
+    )
+
+
+def op13_infill(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents rearranged for filling in the middle, and rebuilt."""
+    from barloom.llm.infill import fill_in_middle, restored
+
+    found = fill_in_middle(table(spark, folder, "documents"))
+    back = restored(F.col("output"), F.col("form"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    )
+
+
+OP13_SQL = """
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+    list_transform(range(0, 4), lambda i: ('0x' || substr(sha256('42:' || doc_id), i * 8 + 1, 8))::BIGINT) AS h
+  FROM documents
+), cut AS (
+  SELECT doc_id, t, u, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a,
+    greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+      WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM units
+), parts AS (
+  SELECT doc_id, t, n::BIGINT AS n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m,
+    array_to_string(u[b + 1:], '') AS s
+  FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m
+    ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256
+FROM parts
+"""
+
+_OPERATORS = (
+    op1_line_chunks, op2_simhash, op3_packing, op4_sharding, op5_personal_data, op6_perplexity, op7_projections, op8_suffixes, op9_mixing,
+    op10_quotes, op11_centroids, op12_secrets, op13_infill,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
+SQL: dict[str, str] = {"op1_line_chunks": OP1_SQL, "op9_mixing": _op9_sql(), "op11_centroids": _op11_sql(), "op13_infill": OP13_SQL}
