@@ -138,7 +138,7 @@ def cluster(
     rounds: int = 5,
     dim: int = 64,
     scale: int = 256,
-    pivots: int = 12,
+    pivots: int = 20,
     salt: int = 2,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
