@@ -10,15 +10,21 @@ from barloom.functions import text as tx
 from barloom.session import settle
 
 
-def article_records(raw: DataFrame, now: Column | None = None, default_source: str = "Google News") -> DataFrame:
-    """Collector records to articles. A date without a zone is UTC, one that does not parse is now."""
+def article_records(
+    raw: DataFrame, now: Column | None = None, default_source: str = "Google News", blank_urls: bool = False
+) -> DataFrame:
+    """Collector records to articles. A date without a zone is UTC, one that does not parse is now.
+
+    A missing or blank URL is null, so that articles without one are no copies of each other;
+    ``blank_urls`` makes it an empty text, which deduplication takes for one URL that they share.
+    """
     stamp = F.try_to_timestamp(F.col("published_date"))
     return raw.select(
         F.lit(None).cast("string").alias("ticker"),
         F.coalesce("title", F.lit("")).alias("headline"),
         F.coalesce("description", F.lit("")).alias("summary"),
         F.lit(None).cast("string").alias("content"),
-        F.coalesce("url", F.lit("")).alias("url"),
+        (F.coalesce("url", F.lit("")) if blank_urls else F.when(F.trim("url") != "", F.col("url"))).alias("url"),
         F.coalesce("publisher", F.lit(default_source)).alias("source"),
         F.lit(None).cast("string").alias("author"),
         F.coalesce(stamp, F.current_timestamp() if now is None else now).alias("published_at"),
@@ -40,21 +46,49 @@ def _body_key(body: Column) -> Column:
     return F.md5(body.cast("binary"))
 
 
-def match_companies(articles: DataFrame, terms: DataFrame) -> DataFrame:
-    """One copy of an article per company that its whole text names.
+def _with_body(articles: DataFrame) -> DataFrame:
+    """Articles with the key of their whole text, which stands for an article wherever only its text counts."""
+    return articles.withColumn("_body", _body_key(tx.searched_text("headline", "summary", "content")))
+
+
+def term_keys(terms: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``(term, _word, _pattern)``: the word by which each term is looked up.
 
-    A term can only match if its first word is a word of the text. Distinct words of distinct texts meet
-    the first words of the terms without the texts; a text is joined back once for the candidates found,
-    and the pattern decides. The optimizer broadcasts a small dictionary and splits hot words of a large one.
+    A term can only match a text that holds all of its words, so any of them may be the key; the one that
+    the fewest texts hold makes the fewest candidates, and a term that starts with a very common word makes
+    no hot partition. Only the words of the terms are counted. Terms without a word match nothing.
     """
-    text = tx.searched_text("headline", "summary", "content")
-    keyed = articles.drop("ticker").withColumn("_body", _body_key(text))
-    bodies = keyed.select("_body", text.alias("_text")).dropDuplicates(["_body"])
-    first = terms.select("ticker", tx.first_word(F.col("term")).alias("_word"), tx.whole_term(F.col("term")).alias("_pattern"))
+    parts = terms.select("term").distinct().select("term", F.explode(F.array_distinct(tx.words(F.col("term")))).alias("_word"))
+    wanted = parts.select("_word").distinct()
+    held = bodies.select(F.explode(F.array_distinct(tx.words(F.col("_text")))).alias("_word"))
+    counts = held.join(wanted, "_word", "left_semi").groupBy("_word").agg(F.count("*").alias("_texts"))
+    rank = F.struct(F.coalesce("_texts", F.lit(0)).alias("n"), "_word")
+    rarest = parts.join(counts, "_word", "left").groupBy("term").agg(F.min_by("_word", rank).alias("_word"))
+    return rarest.select("term", "_word", tx.whole_term(F.col("term")).alias("_pattern"))
+
+
+def term_hits(bodies: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(_body, term)`` of every term that a text of ``bodies (_body, _text)`` holds.
+
+    Distinct words of the texts meet the terms' rarest words without the texts; a text is joined back once
+    for the candidates found, and the pattern decides. The optimizer broadcasts a small dictionary.
+    """
+    keys = term_keys(terms, bodies)
     words = bodies.select("_body", F.explode(F.array_distinct(tx.words(F.col("_text")))).alias("_word"))
-    candidates = words.join(first.filter("_word <> ''"), "_word").select("_body", "ticker", "_pattern")
-    named = candidates.join(bodies, "_body").filter(F.regexp_like("_text", F.col("_pattern")))
-    return keyed.join(named.select("_body", "ticker").distinct(), "_body").drop("_body")
+    candidates = words.join(keys, "_word").select("_body", "term", "_pattern")
+    return candidates.join(bodies, "_body").filter(F.regexp_like("_text", F.col("_pattern"))).select("_body", "term")
+
+
+def company_pairs(articles: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(_body, ticker)`` of every company that a distinct text names; articles need no key of their own."""
+    text = tx.searched_text("headline", "summary", "content")
+    bodies = articles.select(_body_key(text).alias("_body"), text.alias("_text")).dropDuplicates(["_body"])
+    return term_hits(bodies, terms).join(terms, "term").select("_body", "ticker").distinct()
+
+
+def match_companies(articles: DataFrame, terms: DataFrame) -> DataFrame:
+    """One copy of an article per company that its whole text names; every other column is kept."""
+    return _with_body(articles.drop("ticker")).join(company_pairs(articles, terms), "_body").drop("_body")
 
 
 # -------------------------------------------------------------- deduplication
@@ -66,27 +100,79 @@ def _keyed(articles: DataFrame, order: str) -> DataFrame:
     )
 
 
+def _rank() -> Column:
+    """Order of articles: null orders last, equal ones by hash and URL."""
+    return F.struct(F.col("_order").isNull().alias("none"), F.col("_order").alias("order"), "_hash", "_url")
+
+
+def _kept_articles(articles: DataFrame, kept: DataFrame, order: str) -> DataFrame:
+    """The articles whose order, URL and headline are those of a kept key, in their own columns."""
+    named = articles.withColumns({"_url": tx.normalized_url("url"), "_hash": tx.headline_hash("headline")})
+    same = [named[a].eqNullSafe(kept[b]) for a, b in ((order, "_order"), ("_url", "_url"), ("_hash", "_hash"))]
+    found = named.join(kept.distinct(), same, "left_semi")
+    # Rows alike in order, URL and headline are copies of each other, unless they have neither.
+    none = F.col("_url").isNull() & F.col("_hash").isNull()
+    one = found.filter(~none).dropDuplicates([order, "_url", "_hash"]).unionByName(found.filter(none))
+    return one.drop("_hash", "url").withColumnRenamed("_url", "url").select(*articles.columns)
+
+
 def dedup_cheap(articles: DataFrame, order: str = "article_id") -> DataFrame:
-    """First article of each URL, then first of each headline among those.
+    """First article of each URL, then first of each headline among those; a null matches nothing.
 
     Differs from :func:`dedup_first_wins` on chains: an article that falls to its headline has still
     taken its URL. Only keys are aggregated; the texts are joined back once.
     """
-    slim = _keyed(articles, order)
-    by_url = slim.groupBy("_url").agg(F.min_by(F.struct("_order", "_hash"), "_order").alias("_row"))
-    kept = by_url.groupBy(F.col("_row")["_hash"]).agg(F.min(F.col("_row")["_order"]).alias(order)).select(order)
-    return articles.join(kept, order, "left_semi").withColumn("url", tx.normalized_url("url"))
+    keys = _keyed(articles, order)
+    for key in ("_url", "_hash"):
+        firsts = keys.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct("*"), _rank()).alias("_row")).select("_row.*")
+        keys = firsts.unionByName(keys.filter(F.col(key).isNull()))
+    return _kept_articles(articles, keys, order)
+
 
+def _chained(open_: DataFrame, url_first: DataFrame, hash_first: DataFrame) -> tuple[DataFrame, int]:
+    """``rank`` of the rows that are kept at the end of chains of waiting rows, and the number of steps.
 
-def first_wins_keys(keys: DataFrame) -> DataFrame:
+    A row that is the first on one key and the second on the other waits for one row alone: it is kept
+    if and only if that row is not. Such rows form chains, which pointer doubling follows to their heads in
+    the logarithm of their length; where a head is the first on both its keys, every second row behind it
+    is kept. Chains behind other heads stay open.
+    """
+    marked = open_.join(url_first.withColumnRenamed("rank", "url_rank"), "u").join(hash_first.withColumnRenamed("rank", "hash_rank"), "h")
+    marked = settle(marked.select("u", "h", "rank", "url_rank", "hash_rank"), "dedup-marked")
+    seconds = {
+        k: marked.filter(f"rank > {first}").groupBy(k).agg(F.min("rank").alias("rank"))
+        for k, first in (("u", "url_rank"), ("h", "hash_rank"))
+    }
+    behind_hash = marked.filter("rank = url_rank").join(seconds["h"], ["h", "rank"], "left_semi").select("rank", F.col("hash_rank").alias("head"))
+    behind_url = marked.filter("rank = hash_rank").join(seconds["u"], ["u", "rank"], "left_semi").select("rank", F.col("url_rank").alias("head"))
+    links = settle(behind_hash.unionByName(behind_url).withColumn("odd", F.lit(True)), "dedup-chains")
+    steps = 0
+    while True:
+        ahead = links.select(F.col("rank").alias("head"), F.col("head").alias("next"), F.col("odd").alias("more"))
+        moved = links.join(ahead, "head", "left").select(
+            "rank", F.coalesce("next", "head").alias("head"), F.coalesce(F.col("odd") != F.col("more"), "odd").alias("odd"), F.col("next").isNotNull().alias("far")
+        )
+        links = settle(moved, "dedup-chains")
+        steps += 1
+        if links.filter("far").isEmpty():
+            break
+        links = links.drop("far")
+    heads = marked.filter("rank = url_rank and rank = hash_rank").select(F.col("rank").alias("head"))
+    return links.filter("not odd").join(heads, "head", "left_semi").select("rank"), steps
+
+
+def first_wins_keys(keys: DataFrame, trace: list[int] | None = None) -> DataFrame:
     """The rows ``(_order, _url, _hash)`` that an ordered pass would keep, found in parallel rounds.
 
     A row is kept if no kept row before it shares its URL or its hash; a null shares nothing. That is a
     greedy matching between URLs and hashes in order. In each round every row that is the first of the
-    open ones on both its URL and its hash is kept, and all rows on a taken URL or hash are closed. Rows
-    with equal URL and hash fall into one before the first round, and the firsts are partial aggregates.
-    Every round is written to the shared folder; there are as many as the longest chain of rows that wait
-    for each other. Null orders come last, equal ones are ordered by hash and URL.
+    open ones on both its URL and its hash is kept, and all rows on a taken URL or hash are closed. A round
+    that closes less than half of the rows is followed by ones that also contract chains of waiting rows
+    (see :func:`_chained`), so a chain costs the logarithm of its length. Rows that wait for several others
+    at once can still make rounds as many as the longest such wait. Rows with equal URL and hash fall into
+    one before the first round, and the firsts are partial aggregates. Every round is written to the shared
+    folder; ``trace`` receives the steps of each round. Null orders come last, equal ones are ordered by hash
+    and URL.
     """
     columns = ["_order", "_url", "_hash"]
     # A null URL stands in by the hash, which alone can close the row, and a null hash by the URL.
@@ -98,18 +184,26 @@ def first_wins_keys(keys: DataFrame) -> DataFrame:
     row = F.min_by(F.struct(*columns), "rank").alias("row")
     open_ = settle(bound.withColumn("rank", rank).groupBy("u", "h").agg(F.min("rank").alias("rank"), row), "dedup-open")
     kept = free
-    left = open_.count()
+    left, contract = open_.count(), False
     while left:
         url_first = open_.groupBy("u").agg(F.min("rank").alias("rank"))
         hash_first = open_.groupBy("h").agg(F.min("rank").alias("rank"))
-        both_first = open_.join(url_first, ["u", "rank"], "left_semi").join(hash_first, ["h", "rank"], "left_semi")
-        taken = settle(both_first.select("u", "h", "row"), "dedup-kept")
+        found = open_.join(url_first, ["u", "rank"], "left_semi").join(hash_first, ["h", "rank"], "left_semi")
+        steps = 1
+        if contract:
+            late, more = _chained(open_, url_first, hash_first)
+            found = found.unionByName(open_.join(late, "rank", "left_semi").select(*found.columns))
+            steps += more
+        taken = settle(found.select("u", "h", "row"), "dedup-kept")
         kept = kept.unionByName(taken.select("row.*"))
         rest = open_.join(taken.select("u"), "u", "left_anti").join(taken.select("h"), "h", "left_anti")
         open_, before = settle(rest, "dedup-open"), left
         left = open_.count()
+        if trace is not None:
+            trace.append(steps)
         if left >= before:
             raise RuntimeError("a round of deduplication closed nothing")
+        contract = 2 * left > before
     return kept
 
 
@@ -124,14 +218,7 @@ def dedup_first_wins(articles: DataFrame, order: str = "article_id", stored: Dat
         known = stored.select(tx.normalized_url("url").alias("_url"), tx.headline_hash("headline").alias("_hash"))
         keys = keys.join(known.select("_url").distinct(), "_url", "left_anti").select("_order", "_url", "_hash")
         keys = keys.join(known.select("_hash").distinct(), "_hash", "left_anti").select("_order", "_url", "_hash")
-    kept = first_wins_keys(keys).distinct()
-    named = articles.withColumns({"_url": tx.normalized_url("url"), "_hash": tx.headline_hash("headline")})
-    same = [named[a].eqNullSafe(kept[b]) for a, b in ((order, "_order"), ("_url", "_url"), ("_hash", "_hash"))]
-    found = named.join(kept, same, "left_semi")
-    # Rows alike in order, URL and headline are copies of each other, unless they have neither.
-    none = F.col("_url").isNull() & F.col("_hash").isNull()
-    one = found.filter(~none).dropDuplicates([order, "_url", "_hash"]).unionByName(found.filter(none))
-    return one.drop("_hash", "url").withColumnRenamed("_url", "url").select(*articles.columns)
+    return _kept_articles(articles, first_wins_keys(keys), order)
 
 
 # ------------------------------------------------------------------ sentiment
@@ -175,19 +262,35 @@ def analyse_articles(
     lowest ticker survives, because the copies share URL and headline. ``stored`` articles were accepted
     before; with ``exact``, what repeats one of them is not admitted again.
     """
-    # Only the pairs are written, so the texts are searched once.
-    pairs = settle(match_companies(articles, terms).select("article_id", "ticker"), "news-pairs")
+    # Only the pairs are written, so the texts are searched once. They go by the text, so articles may have
+    # no id or share one.
+    pairs = settle(company_pairs(articles, terms), "news-pairs")
     if split_first:
-        pairs = pairs.groupBy("article_id").agg(F.min("ticker").alias("ticker"))
-    named = articles.join(pairs.select("article_id").distinct(), "article_id", "left_semi")
+        pairs = pairs.groupBy("_body").agg(F.min("ticker").alias("ticker"))
+    named = _with_body(articles).join(pairs.select("_body").distinct(), "_body", "left_semi")
     single = dedup_first_wins(named, stored=stored) if exact else dedup_cheap(named)
-    return score_sentiment(single, lexicon).drop("ticker").join(pairs, "article_id")
+    scored = score_sentiment(single.withColumnRenamed("_body", "_article"), lexicon).drop("ticker")
+    return scored.withColumnRenamed("_article", "_body").join(pairs, "_body").drop("_body")
 
 
 def news_rollup(articles: DataFrame, terms: DataFrame, lexicon: DataFrame, **options) -> DataFrame:
     return daily_sentiment(analyse_articles(articles, terms, lexicon, **options))
 
 
+def daily_state(articles: DataFrame) -> DataFrame:
+    """What daily sentiment is made of, in parts that add up: sum and number of scores, number of headlines."""
+    return articles.groupBy("ticker", tx.trading_date("published_at").alias("date")).agg(
+        F.sum("sentiment_score").alias("score_sum"), F.count("sentiment_score").alias("scores"), F.count("headline").alias("headlines")
+    )
+
+
+def merged_state(states: DataFrame) -> DataFrame:
+    """Daily sentiment from any number of partial states of each ticker and day."""
+    sums = states.groupBy("ticker", "date").agg(*(F.sum(c).alias(c) for c in ("score_sum", "scores", "headlines")))
+    mean = F.try_divide("score_sum", "scores").alias("sentiment_score")
+    return sums.select("ticker", "date", mean, F.coalesce("headlines", F.lit(0)).cast("int").alias("article_count"))
+
+
 def newest_articles(articles: DataFrame, n: int = 5) -> DataFrame:
     """The newest ``n`` articles of every ticker; Spark limits each group before the shuffle."""
     from pyspark.sql import Window

@@ -182,6 +182,33 @@ class Registry:
         pointer.write.mode("overwrite").parquet(f"{self.folder}/pointer")
         return row["run_id"]
 
+    def promote_each(self, rules: PromotionRules = PromotionRules(), candidates: DataFrame | None = None) -> dict[str, str]:
+        """Point production of each model type at its best qualifying run; others stay as they are.
+
+        One gate over all runs; the best of a type is one partial aggregate.
+        """
+        gate = promotion_gate(self.summary(), rules).filter("promoted")
+        if candidates is not None:
+            gate = gate.join(candidates.select("run_id"), "run_id", "left_semi")
+        known = gate.join(self.runs().select("run_id", "model_type", "model_path"), "run_id").filter("model_path is not null")
+        rank = F.struct("directional_accuracy_mean", "run_id")
+        best = known.groupBy("model_type").agg(F.max_by(F.struct("run_id", "model_path"), rank).alias("run")).collect()
+        for row in best:  # one row per model type
+            pointer = self.spark.createDataFrame(
+                [(row["run"]["run_id"], row["model_type"], row["run"]["model_path"])], "run_id string, model_type string, model_path string"
+            )
+            pointer.write.mode("overwrite").parquet(f"{self.folder}/production/{row['model_type']}")
+        return {row["model_type"]: row["run"]["run_id"] for row in best}
+
+    def production_models(self) -> dict:
+        """The fitted model that each type's production pointer names, loaded from where its run put it."""
+        from pyspark.ml import PipelineModel
+
+        if not table_exists(self.spark, f"{self.folder}/production"):
+            return {}
+        pointers = self.spark.read.parquet(f"{self.folder}/production/*").orderBy("model_type").collect()
+        return {p["model_type"]: PipelineModel.load(p["model_path"]) for p in pointers}
+
     def production(self) -> DataFrame | None:
         path = f"{self.folder}/pointer"
         return self.spark.read.parquet(path) if table_exists(self.spark, path) else None

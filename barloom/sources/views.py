@@ -163,12 +163,13 @@ class Views:
 
     @property
     def articles(self) -> DataFrame:
-        """One article per document: first line as headline, whole text as content."""
+        """One article per document: first line as headline, the lines after it as summary, whole text as content."""
         pages = self.table("pages").select("page_id", "url")
         n_pages = pages.count()
         docs = self.table("documents").select(
             F.col("doc_id").alias("article_id"),
             F.split_part("text", F.lit("\n"), F.lit(1)).alias("headline"),
+            F.when(F.contains("text", F.lit("\n")), F.expr("substring(text, instr(text, '\n') + 1)")).alias("summary"),
             F.col("text").alias("content"),
             "source",
         )
@@ -179,7 +180,7 @@ class Views:
         return (
             stamped.join(pages, F.col("article_id") % n_pages == F.col("page_id"))
             .select(
-                "article_id", "headline", F.lit(None).cast("string").alias("summary"), "content", "url", "source", "published_at"
+                "article_id", "headline", "summary", "content", "url", "source", "published_at"
             )
         )
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from barloom.functions.text import normalized_url
+from barloom.operators.news import dedup_first_wins
 from barloom.operators.serve import market_movers
 from barloom.session import fresh_path
 from barloom.sources.upsert import SENTIMENT, UpsertRule, upsert_table
@@ -74,13 +75,73 @@ def run_streaming_sentiment(scored: DataFrame, path: str, checkpoint: str | None
 
 
 def streaming_dedup(articles: DataFrame, delay: str = LATE_NEWS) -> DataFrame:
-    """Drop articles whose normalised URL was seen within the watermark delay."""
+    """Drop articles whose normalised URL was seen within the watermark delay: one key, state in the stream."""
     stamped = articles.withColumn("published_at", F.col("published_at").cast("timestamp"))
     keyed = stamped.withWatermark("published_at", delay).withColumn("norm_url", normalized_url("url"))
     return keyed.dropDuplicatesWithinWatermark(["norm_url"])
 
 
-def run_streaming_dedup(articles: DataFrame, path: str, checkpoint: str | None = None) -> DataFrame:
+class AcceptedArticles:
+    """Articles accepted so far, one folder per micro-batch: the state of the deduplication by two keys.
+
+    Whether an article is admitted depends on its URL and on its headline at once, and a rejected one
+    registers neither. State that is kept per key inside a stream cannot say that, since each key would
+    have to know the verdict on the other; so the accepted keys are a table, and each micro-batch is one exact
+    ordered pass over its rows behind those keys.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keep: str | None = None):
+        """``keep``: how long before the newest article of a batch its keys still count, e.g. ``7 days``; else for good."""
+        self.spark, self.path, self.keep = spark, path, keep
+
+    def _earlier(self, batch_id: int) -> DataFrame | None:
+        """Accepted articles of complete batches before this one; a replayed batch does not meet itself."""
+        pattern = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch-*/_SUCCESS")
+        found = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        folders = sorted(s.getPath().getParent().toString() for s in found)
+        before = [f for f in folders if int(f.rsplit("-", 1)[1]) < batch_id]
+        return self.spark.read.parquet(*before) if before else None
+
+    def add(self, batch: DataFrame, batch_id: int, order: str = "article_id") -> None:
+        """Write what the batch adds; a replay writes the same rows to the same folder."""
+        stored = self._earlier(batch_id)
+        if stored is not None and self.keep is not None:
+            newest = batch.agg(F.max("published_at").alias("newest")).first()["newest"]
+            if newest is not None:
+                stored = stored.filter(F.col("published_at") >= F.lit(newest) - F.expr(f"interval {self.keep}"))
+        dedup_first_wins(batch, order, stored).write.mode("overwrite").parquet(f"{self.path}/batch-{batch_id:012d}")
+
+    def all(self) -> DataFrame:
+        earlier = self._earlier(1 << 62)
+        if earlier is None:
+            raise ValueError(f"no batch has been accepted below {self.path}")
+        return earlier
+
+
+def run_streaming_dedup(
+    articles: DataFrame, path: str, checkpoint: str | None = None, order: str = "article_id", keep: str | None = None
+) -> DataFrame:
+    """First article of each URL or headline over the whole stream, whatever batches it comes in.
+
+    Within a batch articles are taken by ``order``, batches as they come. The result equals
+    :func:`barloom.operators.news.dedup_first_wins` over the batches one after the other.
+    """
+    spark = articles.sparkSession
+    accepted = AcceptedArticles(spark, path, keep)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            accepted.add(batch, batch_id, order)
+        finally:
+            batch.unpersist()
+
+    run_available(articles.writeStream.outputMode("append").foreachBatch(apply), checkpoint or fresh_path(spark, "checkpoint"))
+    return accepted.all()
+
+
+def run_streaming_url_dedup(articles: DataFrame, path: str, checkpoint: str | None = None) -> DataFrame:
+    """One article of each URL within the watermark's delay, with state that the stream evicts by itself."""
     spark = articles.sparkSession
     writer = streaming_dedup(articles).writeStream.outputMode("append").format("parquet").option("path", path)
     run_available(writer, checkpoint or fresh_path(spark, "checkpoint"))

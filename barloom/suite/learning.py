@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import evaluate as ev
 from barloom.operators import models as m
+from barloom.operators import serve
 from barloom.operators import technical as t
 from barloom.plans import ablation
 from barloom.sources.views import Views
@@ -76,6 +77,35 @@ def m02_metrics(v: Views):
     return rounded_metrics(out, "n")
 
 
+@case(
+    "m08_scored_history",
+    with_views(
+        _RIDGE
+        + f""", p AS (SELECT ticker, date, close, close * (1 + my - w1 * m1 - w2 * m2 + w1 * daily_return + w2 * return_lag_1) AS price FROM lagged, w),
+              h AS (SELECT ticker, date, close, lag(price) OVER ({W}) AS pred, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn FROM p)
+              SELECT ticker, date, close, round(pred, 1) AS lr_pred FROM h WHERE rn <= 1825""",
+        "returns",
+    ),
+)
+def m08_scored(v: Views):
+    """A ridge is fitted, registered and promoted; the promoted model is loaded, scores all history and is served."""
+    from barloom.plans import daily
+    from barloom.session import fresh_path
+    from barloom.sources.registry import NUMERIC, PromotionRules, Registry
+
+    registry = Registry(v.spark, fresh_path(v.spark, "registry"))
+    model = m.fit_ridge(train_part(two_features(v), v), FEATURES)
+    path = f"{registry.folder}/models/one"
+    model.write().save(path)
+    results = ev.window_metrics(m.walk_forward_ridge(two_features(v), windows(v), FEATURES))
+    registry.register("one", "ridge", "v2", [], results.select("ticker", *NUMERIC), model_path=path)
+    # These bars follow no market: the rules are set so that any run with all its metrics is served.
+    open_rules = PromotionRules(accuracy_margin=-100.0, max_mape=1e12, max_worst_window_mape=1e12, max_ticker_spread=100.0)
+    registry.promote_each(open_rules)
+    scored = daily.score_production(t.daily_returns(v.bars, (1,)), registry)
+    return serve.aligned_history(scored, models=("lr",)).withColumn("lr_pred", F.round("lr_pred", 1))
+
+
 _ONE = (
     _SET
     + _windows()

@@ -83,12 +83,10 @@ def c05(v: Views):
     ),
 )
 def c06(v: Views):
-    """How many articles name each term: words of the text meet first words of terms, then the pattern decides."""
-    keyed = terms(v).select("term", tx.first_word(F.col("term")).alias("word"), tx.whole_term(F.col("term")).alias("pattern"))
+    """How many articles name each term: words of the text meet the rarest words of terms, then the pattern decides."""
     text = tx.searched_text("headline", "summary", "content")
-    df = v.articles.select("article_id", text.alias("body")).withColumn("word", F.explode(F.array_distinct(tx.words(F.col("body")))))
-    hits = df.join(F.broadcast(keyed), "word").filter(F.regexp_like("body", F.col("pattern")))
-    return hits.groupBy("term").agg(F.count("*").alias("n"))
+    bodies = v.articles.select(F.col("article_id").alias("_body"), text.alias("_text"))
+    return nw.term_hits(bodies, terms(v).select("term").distinct()).groupBy("term").agg(F.count("*").alias("n"))
 
 
 @case("n01_company_match", with_views(_MATCH + "SELECT article_id, ticker FROM hits", "articles"))
@@ -218,6 +216,33 @@ def n04_split(v: Views):
     return _shown(nw.news_rollup(v.articles, terms(v), lexicon(v), split_first=True))
 
 
+_TWO_BATCHES = "(SELECT *, (CASE WHEN article_id % 2 = 0 THEN 0 ELSE 1000000000 END) + article_id AS nth FROM named)"
+
+
+@case(
+    "n04_news_rollup_two_batches",
+    with_views(
+        _MATCH
+        + _KEYS
+        + ", named AS MATERIALIZED (SELECT * FROM keyed WHERE article_id IN (SELECT article_id FROM hits))"
+        + _greedy(_TWO_BATCHES, "nth")
+        + _SCORE
+        + f" {_AGG} FROM keyed JOIN kept ON kept.nth % 1000000000 = article_id JOIN hits USING (article_id) JOIN scores USING (article_id) GROUP BY 1, 2",
+        "articles",
+        recursive=True,
+    ),
+)
+def n04_batches(v: Views):
+    """Even ids arrive first, odd ids later and then once more: stored articles, and daily rows updated in place."""
+    from barloom.plans.rollup import Rollup
+    from barloom.session import fresh_path
+
+    table = Rollup(v.spark, fresh_path(v.spark, "rollup"))
+    for batch, rest in (("one", 0), ("two", 1), ("two", 1)):
+        table.add(batch, v.articles.filter(F.col("article_id") % 2 == rest), terms(v), lexicon(v))
+    return _shown(table.daily())
+
+
 @case(
     "t02_newest_articles",
     with_views(

@@ -86,10 +86,10 @@ _HIST = (
 
 @case(
     "m08_aligned_history",
-    with_views(_HIST + f"SELECT ticker, date, close, {', '.join(f'{m}_pred' for m in M)} FROM hist WHERE rn <= 365", "predictions"),
+    with_views(_HIST + f"SELECT ticker, date, close, {', '.join(f'{m}_pred' for m in M)} FROM hist WHERE rn <= 1825", "predictions"),
 )
 def m08(v: Views):
-    return serve.aligned_history(v.predictions, 365)
+    return serve.aligned_history(v.predictions)
 
 
 _LAST = ", last AS (SELECT * FROM prices WHERE (ticker, date) IN (SELECT (ticker, max(date)) FROM prices GROUP BY ticker))"

@@ -36,7 +36,7 @@ FROM ord GROUP BY 1, 2""",
 FROM ord WHERE priority IN ('4-NOT SPECIFIED', '5-LOW') GROUP BY ticker, date""",
     "sentiment_raw": """SELECT event_id, 'U' || user_id AS ticker, ts AS published_at, event_type AS headline,
        (round(value * 100) - 24500) / 24500 AS sentiment_score FROM events""",
-    "articles": """SELECT d.doc_id AS article_id, split_part(d.text, chr(10), 1) AS headline, CAST(NULL AS VARCHAR) AS summary,
+    "articles": """SELECT d.doc_id AS article_id, split_part(d.text, chr(10), 1) AS headline, CASE WHEN contains(d.text, chr(10)) THEN substr(d.text, instr(d.text, chr(10)) + 1) END AS summary,
        d.text AS content, p.url, d.source, e.ts AS published_at
 FROM documents d JOIN events e ON e.event_id = d.doc_id JOIN pages p ON p.page_id = d.doc_id % (SELECT count(*) FROM pages)""",
     "quotes": "SELECT event_id, event_type AS ticker, ts, value AS price FROM events",

@@ -10,7 +10,7 @@ from barloom.sources import upsert as up
 from barloom.sources.views import Views
 from barloom.streaming import jobs
 from barloom.suite.case import case
-from barloom.suite.news import _AGG, _KEYS, _shown
+from barloom.suite.news import _AGG, _KEYS, _greedy, _shown
 from barloom.suite.sql_views import with_views
 from barloom.suite.tables import _SPLIT, _upsert_sql
 
@@ -30,14 +30,37 @@ def r01(v: Views):
     return _shown(jobs.run_streaming_sentiment(scored, fresh_path(v.spark, "sentiment")))
 
 
-@case("r02_streaming_dedup", with_views(_KEYS + "SELECT DISTINCT norm_url FROM keyed", "articles"))
-def r02(v: Views):
+@case("r02_streaming_url_dedup", with_views(_KEYS + "SELECT DISTINCT norm_url FROM keyed", "articles"))
+def r02_url(v: Views):
     """The stored articles as a file stream; one article per URL is left, all lie within the delay of each other."""
     rows = v.articles.select("article_id", "url", "published_at")
     path = fresh_path(v.spark, "articles")
     rows.write.parquet(path)
     stream = jobs.file_stream(v.spark, path, rows.schema)
-    return jobs.run_streaming_dedup(stream, fresh_path(v.spark, "unique")).select("norm_url")
+    return jobs.run_streaming_url_dedup(stream, fresh_path(v.spark, "unique")).select("norm_url")
+
+
+@case(
+    "r02_streaming_dedup",
+    with_views(
+        _KEYS
+        + _greedy("(SELECT *, (article_id % 3) * 1000000000 + article_id AS nth FROM keyed)", "nth")
+        + "SELECT k.article_id, k.norm_url AS url FROM keyed k JOIN kept ON kept.nth % 1000000000 = k.article_id",
+        "articles",
+        recursive=True,
+    ),
+)
+def r02(v: Views):
+    """Three batches of articles, deduplicated by URL or headline against all batches before."""
+    rows = v.articles.select("article_id", "headline", "url", "published_at")
+    source = fresh_path(v.spark, "articles")
+    accepted = fresh_path(v.spark, "accepted")
+    for part in range(3):
+        # One file a batch; each run takes up the stream where the last one ended.
+        rows.filter(F.col("article_id") % 3 == part).coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.file_stream(v.spark, source, rows.schema)
+        out = jobs.run_streaming_dedup(stream, accepted, f"{accepted}-checkpoint")
+    return out.select("article_id", "url")
 
 
 @case("r03_streaming_upsert", with_views(_upsert_sql("bars", "date", up.BARS, [], {"close": "close * 2"}, _SPLIT), "bars"))
