@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from barloom.operators import evaluate as ev
@@ -9,9 +11,12 @@ from barloom.operators import models as m
 from barloom.operators import serve
 from barloom.operators import technical as t
 from barloom.plans import ablation
+from barloom.plans import features as fb
+from barloom.session import settle
 from barloom.sources.views import Views
 from barloom.suite.case import case
 from barloom.suite.evaluation import _CUTOFF, _windows, cutoff, metric_sql, rounded_metrics, windows
+from barloom.suite.panel import FULL_BUILD, FULL_VIEWS, _not_null, tables
 from barloom.suite.sql_views import with_views
 
 W = "PARTITION BY ticker ORDER BY date"
@@ -21,11 +26,6 @@ _SET = f"""
 rows AS (SELECT * FROM lagged WHERE y IS NOT NULL AND return_lag_1 IS NOT NULL AND daily_return IS NOT NULL)"""
 
 
-def panel(v: Views):
-    df = ev.with_target(t.daily_returns(v.bars, (1, 2, 3))).dropna("any")
-    return df.join(v.meta.select("ticker", "sector"), "ticker")
-
-
 def two_features(v: Views):
     return ev.with_target(t.daily_returns(v.bars, (1,))).dropna("any")
 
@@ -128,18 +128,57 @@ def m05(v: Views):
     return rounded_metrics(ev.window_metrics(scored), "ticker", "window_idx", prefixes=("", "naive_"))
 
 
-#: Few windows, so that the per-window fits of the tree models stay short.
-_FEW = dict(train=750, test=500, step=500)
-_LAGS = ["daily_return", "return_lag_1", "return_lag_2", "return_lag_3"]
+#: All 48 features of rows that have every one of them, with the target.
+_WHOLE = (
+    FULL_BUILD
+    + f""", built AS (SELECT ticker, date, close, pe_ratio, (lead(close) OVER ({W}) - close) / close AS y FROM panel WHERE {_not_null(False)}),
+rows48 AS (SELECT ticker, date, close, y FROM built WHERE y IS NOT NULL AND pe_ratio IS NOT NULL)"""
+)
+_JUDGED = f"count(*) AS n, true AS predicted, {metric_sql('0.0', 'naive_')}"
+
+
+def whole_panel(v: Views):
+    """The full feature build, stored once for the fits that read it again and again."""
+    df = ev.with_target(fb.build_features(*tables(v)))
+    return settle(df.dropna("any", subset=fb.FEATURES), "whole")
+
+
+def judged(scored, *keys: str):
+    """What SQL can say of any model: rows, whether each has a prediction, and the errors of naive persistence."""
+    df = scored.withColumn("_naive", F.lit(0.0))
+    out = df.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        (F.count("prediction") == F.count("*")).alias("predicted"),
+        *ev.metric_exprs(m.LABEL, "_naive", "close", "naive_"),
+    )
+    return rounded_metrics(out, *keys, "n", "predicted", prefixes=("naive_",))
+
+
+def _whole_sql(query: str, part: str) -> str:
+    return with_views(_WHOLE + part + query, *FULL_VIEWS, recursive=True)
 
 
-@case("m05_walk_forward_trees")
+_WINDOWED = """, fit AS (SELECT DISTINCT ticker, window_idx FROM rows48 r JOIN win w ON r.date BETWEEN w.train_start AND w.train_end),
+hit AS (SELECT r.*, w.window_idx FROM rows48 r JOIN win w ON r.date BETWEEN w.test_start AND w.test_end
+        JOIN fit f ON f.ticker = r.ticker AND f.window_idx = w.window_idx)
+"""
+
+
+@case("m05_walk_forward_trees", _whole_sql(_WINDOWED + f"SELECT ticker, window_idx, {_JUDGED} FROM hit GROUP BY 1, 2", _windows()))
 def m05_trees(v: Views):
-    scored = m.walk_forward(panel(v), windows(v, **_FEW), lambda rows: m.fit_baseline(rows, _LAGS, trees=10, depth=5))
-    return ev.window_metrics(scored)
+    """Boosted trees of every (window, ticker): 200 rounds, eight tenths of rows and columns, all features."""
+    return judged(m.walk_forward_trees(whole_panel(v), windows(v), fb.FEATURES), "ticker", "window_idx")
+
+
+@case(
+    "m05_walk_forward_ridge_all_features",
+    _whole_sql(_WINDOWED + f"SELECT ticker, window_idx, {_JUDGED} FROM hit GROUP BY 1, 2", _windows()),
+)
+def m05_all(v: Views):
+    return judged(m.walk_forward_ridge(whole_panel(v), windows(v), fb.FEATURES), "ticker", "window_idx")
 
 
-@case("x04_callable_evaluator", with_views(_SET + _windows(train=750, test=500, step=500) + f""", hit AS (
+@case("x04_callable_evaluator", with_views(_SET + _windows() + f""", hit AS (
       SELECT ticker, window_idx, close, y FROM rows r JOIN win w ON r.date BETWEEN w.test_start AND w.test_end)
       SELECT ticker, window_idx, {metric_sql('0.0')} FROM hit GROUP BY 1, 2""", "returns"))
 def x04(v: Views):
@@ -150,32 +189,98 @@ def x04(v: Views):
     def fit(_rows):
         return PipelineModel(stages=[SQLTransformer(statement="SELECT *, 0D AS prediction FROM __THIS__")])
 
-    scored = m.walk_forward(two_features(v), windows(v, **_FEW), fit, lambda df: df.select("ticker", "date", "close", m.LABEL))
+    panel = settle(two_features(v), "panel")
+    scored = m.walk_forward(panel, windows(v), fit, lambda df: df.select("ticker", "date", "close", m.LABEL))
     return rounded_metrics(ev.window_metrics(scored), "ticker", "window_idx")
 
 
-@case("m01_random_forest")
+_TESTED = f"SELECT ticker, {_JUDGED} FROM rows48, cut WHERE date > cutoff GROUP BY 1"
+
+
+@case("m01_random_forest", _whole_sql(_TESTED, _CUTOFF))
 def m01(v: Views):
-    split = ev.split_by_cutoff(panel(v), cutoff(v))
-    model = m.fit_baseline(split.filter("split = 'train'"), _LAGS, trees=20, depth=6)
-    return ev.metrics(m.predict(model, split.filter("split = 'test'")), "ticker")
+    """A hundred trees of depth ten on all features of all tickers."""
+    split = ev.split_by_cutoff(whole_panel(v), cutoff(v))
+    model = m.fit_baseline(split.filter("split = 'train'"), fb.FEATURES)
+    return judged(m.predict(model, split.filter("split = 'test'")), "ticker")
 
 
-@case("m03_boosted_trees")
+@case("m03_boosted_trees", _whole_sql(_TESTED, _CUTOFF))
 def m03(v: Views):
-    split = ev.split_by_cutoff(panel(v), cutoff(v))
-    model = m.fit_boosted(split.filter("split = 'train'"), _LAGS, trees=5, depth=4)
-    return ev.metrics(m.predict(model, split.filter("split = 'test'")), "ticker")
+    """A hundred boosted trees on all features with encoded ticker and sector."""
+    split = ev.split_by_cutoff(whole_panel(v), cutoff(v))
+    model = m.fit_boosted(split.filter("split = 'train'"), fb.FEATURES)
+    return judged(m.predict(model, split.filter("split = 'test'")), "ticker")
+
+
+def _encoding_sql(category: str) -> str:
+    return f"""
+, {category}_part AS (SELECT {category} AS k, fold, sum(y) AS s, count(*) AS n FROM trf GROUP BY 1, 2),
+{category}_every AS (SELECT k, sum(s) AS s, sum(n) AS n FROM {category}_part GROUP BY 1)"""
 
 
-@case("m07_feature_importance")
+_ENCODED = (
+    _SET
+    + _CUTOFF
+    + f""", named AS (SELECT r.ticker, r.date, r.y, sector, r.date <= cutoff AND r.ticker <> 'S1' AS known,
+                      (r.date - DATE '1970-01-01') % {m.FOLDS} AS fold FROM rows r JOIN meta m ON m.ticker = r.ticker, cut),
+trf AS (SELECT * FROM named WHERE known),
+mean AS (SELECT fold, (SELECT avg(y) FROM trf t WHERE t.fold <> f.fold) AS other FROM (SELECT DISTINCT fold FROM trf) f)"""
+    + _encoding_sql("ticker")
+    + _encoding_sql("sector")
+)
+_SMOOTH = f"round(({{s}} + {m.SMOOTHING} * {{p}}) / ({{n}} + {m.SMOOTHING}), 8) AS {{name}}"
+
+
+@case(
+    "m03_category_encoding",
+    with_views(
+        _ENCODED
+        + f"""SELECT r.ticker, r.date, {_SMOOTH.format(s='(te.s - tp.s)', n='(te.n - tp.n)', p='other', name='ticker_encoded')},
+              {_SMOOTH.format(s='(se.s - sp.s)', n='(se.n - sp.n)', p='other', name='sector_encoded')}
+              FROM trf r JOIN mean USING (fold) JOIN ticker_part tp ON tp.k = r.ticker AND tp.fold = r.fold JOIN ticker_every te ON te.k = r.ticker
+              JOIN sector_part sp ON sp.k = r.sector AND sp.fold = r.fold JOIN sector_every se ON se.k = r.sector
+              UNION ALL SELECT r.ticker, r.date, {_SMOOTH.format(s='coalesce(te.s, 0)', n='coalesce(te.n, 0)', p='p', name='ticker_encoded')},
+              {_SMOOTH.format(s='coalesce(se.s, 0)', n='coalesce(se.n, 0)', p='p', name='sector_encoded')}
+              FROM named r LEFT JOIN ticker_every te ON te.k = r.ticker LEFT JOIN sector_every se ON se.k = r.sector, (SELECT avg(y) AS p FROM trf)
+              WHERE NOT known""",
+        "returns",
+        "meta",
+    ),
+)
+def m03_encoding(v: Views):
+    """Training rows by the other folds, other rows by all of training; one ticker is kept out of training."""
+    split = ev.split_by_cutoff(two_features(v).join(v.meta.select("ticker", "sector"), "ticker"), cutoff(v))
+    known = (F.col("split") == "train") & (F.col("ticker") != "S1")
+    train = settle(split.filter(known), "encoded")
+    columns = ["ticker", "date", *[F.round(m.encoded_name(c), 8).alias(m.encoded_name(c)) for c in m.CATEGORIES]]
+    later = m.category_encoder(train).transform(split.filter(~known))
+    return m.out_of_fold(train).select(*columns).unionByName(later.select(*columns))
+
+
+_NAMES = ", ".join(f"'{c}'" for c in fb.FEATURES)
+
+
+@case(
+    "m07_feature_importance",
+    f"SELECT unnest([{_NAMES}, 'ticker_encoded', 'sector_encoded']) AS feature, true AS counted, CAST(1.0 AS DOUBLE) AS total",
+)
 def m07(v: Views):
-    return m.feature_importance(m.fit_baseline(train_part(panel(v), v), _LAGS, trees=20, depth=6))
+    """Importance of every feature in the boosted model; they add up to one."""
+    shares = settle(m.feature_importance(m.fit_boosted(train_part(whole_panel(v), v), fb.FEATURES)), "importance")
+    whole = shares.agg(F.round(F.sum("importance"), 6)).scalar()
+    return shares.select("feature", (F.col("importance") >= 0).alias("counted"), whole.alias("total"))
 
 
-@case("t03_top_importance")
+@case("t03_top_importance", "SELECT CAST(range + 1 AS INTEGER) AS place, true AS falls FROM range(15)")
 def t03(v: Views):
-    return m.feature_importance(m.fit_baseline(train_part(panel(v), v), _LAGS, trees=20, depth=6), 2)
+    """The fifteen features of the forest that count most, none above the one before it."""
+    from pyspark.sql import Window
+
+    top = settle(m.feature_importance(m.fit_baseline(train_part(whole_panel(v), v), fb.FEATURES), 15), "top")
+    w = Window.partitionBy().orderBy(F.col("importance").desc(), "feature")  # fifteen rows
+    before = F.coalesce(F.lag("importance").over(w), F.lit(1.0))
+    return top.select(F.row_number().over(w).alias("place"), (F.col("importance") <= before).alias("falls"))
 
 
 @case(
@@ -216,31 +321,28 @@ def m06_naive(v: Views):
 
 @case("m06_ablation")
 def m06(v: Views):
-    """All four configs with short boosted fits."""
-    from barloom.plans.features import build_features
-    from barloom.session import settle
-    from barloom.suite.panel import tables
-
+    """All four configs with their own features; twenty rounds each (see README)."""
     sectors = v.meta.select("ticker", "sector")
-    full = settle(build_features(*tables(v)).drop("pe_ratio").withColumn("pe_ratio", F.lit(0.0)), "full")
+    full = settle(fb.build_features(*tables(v)), "full")
     original = settle(ablation.original_panel(v.bars, v.daily_sentiment, v.dividends).join(sectors, "ticker"), "original")
-    return ablation.run_ablation(original, full, cutoff(v), lambda rows, f: m.fit_boosted(rows, f, trees=3, depth=3))
+    return ablation.run_ablation(original, full, cutoff(v), lambda rows, f: m.fit_boosted(rows, f, trees=20))
 
 
 @case("q02_daily_job")
 def q02(v: Views):
-    """Features, three models, walk-forward, registration and promotion; shows the registered runs."""
+    """Features, three models, walk-forward, registration and promotion; shows the registered runs.
+
+    All features and all windows, with ten trees in each ensemble (see README).
+    """
+    from barloom.functions.trees import BOOSTED, FOREST
     from barloom.plans import daily
     from barloom.session import fresh_path
     from barloom.sources.registry import Registry, promotion_gate
-    from barloom.suite.panel import tables
 
     registry = Registry(v.spark, fresh_path(v.spark, "registry"))
     plan = daily.Plan(
-        features=["daily_return", "return_lag_1", "rsi_14", "sma_7_dist", "market_return", "days_since_dividend"],
-        train_days=750, test_days=700, step_days=700,
-        tree_params={"trees": 5, "depth": 4}, boost_params={"trees": 3, "depth": 3},
-    )
+        tree_params={"trees": 10}, boost_params={"trees": 10}, window_forest=replace(FOREST, trees=10), window_boosted=replace(BOOSTED, trees=10)
+    )
     daily.run_daily(v.spark, daily.Tables(*tables(v)), registry, plan)
     runs = registry.runs().select("run_id", "model_type", "feature_set_version")
     return runs.join(promotion_gate(registry.summary()), "run_id").drop("run_id")
