@@ -65,3 +65,24 @@ def components(texts, distance=4):
                 low, high = sorted((root(a), root(b)))
                 label[high] = low
     return {k: root(k) for k in texts}
+
+
+def sets(texts, width=5):
+    out = {}
+    for k, t in texts.items():
+        words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode("utf-8").split()
+        out[k] = frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
+    return out
+
+
+def near_pairs(texts, similarity=0.8):
+    """All pairs of different shingle sets that are similar enough."""
+    found, by_shingle, known = [], {}, sets(texts)
+    for k in sorted(known):
+        common = {}
+        for s in known[k]:
+            for other in by_shingle.setdefault(s, []):
+                common[other] = common.get(other, 0) + 1
+            by_shingle[s].append(k)
+        found += [(o, k) for o, n in common.items() if known[o] != known[k] and n >= similarity * (len(known[o]) + len(known[k]) - n)]
+    return found
