@@ -107,15 +107,15 @@ def op8_suffixes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents with their calibrated sampling rate and whether they are drawn."""
+    """All documents with their calibrated sampling rate and how often they are drawn."""
     from barloom.llm.mixing import described, mixed_described
     from barloom.session import settle
 
     slim = described(table(spark, folder, "documents")).select("doc_id", "source", "lang", "topic", "tokens")
     # Texts are read once; the mix needs only what is derived from them.
     docs = mixed_described(settle(slim, "described"))
-    places = {c: F.round(c, 6).alias(c) for c in ("weight", "probability")}
-    return docs.select("doc_id", "source", "lang", "topic", "tokens", *places.values(), "kept")
+    weight = F.round("weight", 6).alias("weight")
+    return docs.select("doc_id", "source", "lang", "topic", "tokens", weight, "copies", (F.col("copies") > 0).alias("kept"))
 
 
 def _op9_sql() -> str:
@@ -159,10 +159,9 @@ c0 AS MATERIALIZED (
   FROM named n LEFT JOIN {last} c ON n.source IS NOT DISTINCT FROM c.source
     AND n.lang IS NOT DISTINCT FROM c.lang AND n.topic = c.topic
 )
-SELECT doc_id, source, lang, topic, tokens, round(weight, 6) AS weight,
-  round(CASE WHEN none THEN 1 ELSE least(1.0, weight * 0.7) END, 6) AS probability,
-  u < CASE WHEN none THEN 1 ELSE least(1.0, weight * 0.7) END AS kept
-FROM rated
+SELECT doc_id, source, lang, topic, tokens, round(weight, 6) AS weight, copies, copies > 0 AS kept
+FROM (SELECT *, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies
+  FROM (SELECT *, CASE WHEN none THEN 1 ELSE weight * 0.7 END AS rate FROM rated))
 """
 
 

@@ -333,3 +333,17 @@ def test_queries_equal_their_sql(spark):
         df = QUERIES[name](spark, FOLDER)
         cur = con.execute(sql)
         assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows([d[0] for d in cur.description], cur.fetchall()), name
+
+
+def test_copies_of_the_query_meet_the_shares(spark):
+    """Drawn tokens of the query's own rows, by topic, against the target shares."""
+    from barloom.llm.mixing import TOPIC_SHARES
+    from barloom.llm.queries import QUERIES
+
+    rows = QUERIES["op9_mixing"](spark, "/root/testdata/sf0.1").select("topic", "tokens", "copies", "kept").collect()
+    drawn = Counter()
+    for r in rows:
+        drawn[r["topic"]] += r["tokens"] * r["copies"]
+        assert r["kept"] == (r["copies"] > 0)
+    total, wanted = sum(drawn.values()), sum(TOPIC_SHARES[t] for t in drawn)
+    assert all(abs(n / total - TOPIC_SHARES[t] / wanted) < 0.01 for t, n in drawn.items())
