@@ -39,14 +39,15 @@ def macro_table(series: DataFrame, policy_rate: Column | float = 22.0, synthetic
     """Long (series, date, close) rows to one row per date.
 
     A pivot over the fixed list of series is an n-way full outer join on date in a single shuffle.
-    The policy rate has no source of its own, so it is given and flagged as synthetic.
+    The policy rate has no source of its own, so it is given and flagged as synthetic. Of several values of
+    one series and date the greatest counts, whatever order the rows come in.
     """
     rate = F.lit(policy_rate) if isinstance(policy_rate, (int, float)) else policy_rate
     return (
         series.filter(F.col("close").isNotNull())
         .groupBy("date")
         .pivot("series", MACRO_COLUMNS)
-        .agg(F.first("close"))
+        .agg(F.max("close"))
         .withColumn("sbp_policy_rate", rate.cast("double"))
         .withColumn("is_synthetic_rate", F.lit(synthetic))
     )
@@ -72,13 +73,13 @@ def derive_fundamentals(statements: DataFrame, info: DataFrame | None = None) ->
     Per-share earnings fall back on a missing value only; the other chains also skip a zero, so
     they use ``nullif`` first. ``info`` (ticker, eps, pe_ratio, roe, debt_to_equity,
     book_value_per_share) may complete the newest period of a ticker. Periods without any value are
-    dropped.
+    dropped. Of several values of one item the greatest counts, whatever order the rows come in.
     """
     wide = (
         statements.filter(~F.isnan("value"))
         .groupBy("ticker", "report_date")
         .pivot("field", STATEMENT_FIELDS)
-        .agg(F.first("value", ignorenulls=True))
+        .agg(F.max("value"))
     )
     item = {f: F.col(f"`{f}`") for f in STATEMENT_FIELDS}
 

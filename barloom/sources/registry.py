@@ -47,7 +47,7 @@ def worst_windows(results: DataFrame) -> DataFrame:
 def overall(summary: DataFrame, *metrics: str) -> DataFrame:
     """One row per run with the given metrics over all tickers as columns."""
     return summary.filter(F.col("ticker").isNull() & F.col("metric").isin(*metrics)).groupBy("run_id").pivot("metric", list(metrics)).agg(
-        F.first("value")
+        F.max("value")
     )
 
 
