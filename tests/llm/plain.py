@@ -2,32 +2,48 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import re
 
 import xxhash
 
 
-def chunks(text, window=2, divisor=3, base=1_000_003, prime=2_147_483_647):
+def line_pairs(text):
     lines = text.split("\n")
+    return list(zip(lines, lines[1:]))
+
+
+def chunks(text, counts, window=2, divisor=3, base=1_000_003, prime=2_147_483_647):
+    """Lists of lines; a cut at ``i`` is between lines ``i - 1`` and ``i``, inside their pair."""
+    lines, n = text.split("\n"), len(text.split("\n"))
     hashes = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-    out, start = [], 0
-    for i in range(len(lines)):
+    count = {i + 1: counts[pair] for i, pair in enumerate(line_pairs(text))}
+    at = lambda i: count.get(i, 1)
+    edge = set()
+    for i in range(1, n):
+        low = at(i) <= min(at(i - 1), at(i + 1)) and at(i) < max(at(i - 1), at(i + 1))
+        if low and not (at(i) > 1 and i - 1 in edge):
+            edge.add(i)
+    fixed = edge | {n}
+    drawn = set()
+    for i in range(window, n):
         value = 0
-        for h in hashes[max(0, i - window + 1) : i + 1]:
+        for h in hashes[i - window : i]:
             value = (value * base + h) % prime
-        if i + 1 == len(lines) or (i + 1 >= window and value % divisor == 0):
-            out.append(lines[start : i + 1])
-            start = i + 1
-    return out
+        if value % divisor == 0 and not fixed & {i - 1, i, i + 1}:
+            drawn.add(i)
+    ends = sorted(fixed | {i for i in drawn if i - 1 not in drawn})
+    return [lines[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def drop_chunks(texts, **options):
     """id -> text without multi-line chunks that a smaller id, or an earlier place, holds."""
+    counts = collections.Counter(pair for text in texts.values() for pair in line_pairs(text))
     seen, out = set(), {}
     for k in sorted(texts):
         kept = []
-        for chunk in chunks(texts[k], **options):
+        for chunk in chunks(texts[k], counts, **options):
             body = "\n".join(chunk)
             if len(chunk) > 1 and re.search(r"[^\x20\x09-\x0D]", body):
                 if body in seen:

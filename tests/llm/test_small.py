@@ -63,6 +63,35 @@ def test_chunk_boundaries_shift_with_insertions(spark):
     assert left[1] == rows[0][1] and len(left[2].split("\n")) < 20 and "another" in left[2]
 
 
+def test_passages_go_whole_between_unlike_neighbours(spark):
+    from barloom.llm.linechunks import drop_repeated_chunks
+
+    rng = random.Random(3)
+    line = lambda: " ".join(rng.choices("alpha beta gamma delta eps zeta eta theta iota".split(), k=12)) + f" {rng.random()}"
+    rows, size, k = [], {}, 0
+    for length in (2, 3, 4, 6, 10):
+        for _ in range(100):
+            passage = [line() for _ in range(length)]
+            for _ in range(2):
+                rows.append((k, "\n".join([line() for _ in range(rng.randint(1, 6))] + passage + [line() for _ in range(rng.randint(0, 6))]), "en", "s"))
+                size[k] = length
+                k += 1
+    left = {r["doc_id"]: r["text"] for r in drop_repeated_chunks(frame(spark, rows)).collect()}
+    whole = {n: sum(left[i].count("\n") == rows[i][1].count("\n") - n for i in range(1, k, 2) if size[i] == n) for n in (2, 3, 4, 6, 10)}
+    assert all(left[i] == rows[i][1] for i in range(0, k, 2))
+    assert min(whole.values()) >= 95, whole
+
+
+def test_nested_passages_share_their_edges(spark):
+    from barloom.llm.linechunks import drop_repeated_chunks
+
+    body = [f"sentence {i} of a document that is copied" for i in range(24)]
+    rows = [(1, "\n".join(body), "en", "s"), (2, "\n".join(body), "en", "s")]
+    rows += [(3, "\n".join(["own start", *body[7:12], "own end"]), "en", "s")]
+    left = {r["doc_id"]: r["text"] for r in drop_repeated_chunks(frame(spark, rows)).collect()}
+    assert left == {1: rows[0][1], 2: "", 3: "own start\nown end"}
+
+
 # SimHash
 
 
