@@ -29,24 +29,24 @@ WITH lines AS (
 ), hashed AS (
   SELECT doc_id, body, lines, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT) AS h FROM lines
 ), spots AS (
-  SELECT doc_id, unnest(range(1, len(lines))) AS at, len(lines) AS n_lines,
+  SELECT doc_id, unnest(range(1, len(lines))) AS spot, len(lines) AS n_lines,
     unnest(list_transform(range(1, len(lines)), lambda i: lines[i] || chr(10) || lines[i + 1])) AS pair,
     unnest(list_transform(range(1, len(lines)), lambda i: i > 1 AND ((h[i - 1] * 1000003) + h[i]) % 2147483647 % 3 = 0)) AS drawn
   FROM hashed
 ), counted AS (
-  SELECT doc_id, at, n_lines, drawn, count(*) OVER (PARTITION BY pair) AS n FROM spots
+  SELECT doc_id, spot, n_lines, drawn, count(*) OVER (PARTITION BY pair) AS n FROM spots
 ), beside AS (
   SELECT *, coalesce(lag(n, 2) OVER w, 1) AS n2, coalesce(lag(n) OVER w, 1) AS n1, coalesce(lead(n) OVER w, 1) AS n3
-  FROM counted WINDOW w AS (PARTITION BY doc_id ORDER BY at)
+  FROM counted WINDOW w AS (PARTITION BY doc_id ORDER BY spot)
 ), edged AS (
   SELECT *, n <= n1 AND n <= n3 AND (n < n1 OR n < n3) AND NOT (n > 1 AND n = n1 AND n1 < n2) AS edge FROM beside
 ), clear AS (
-  SELECT *, drawn AND at < n_lines - 1 AND NOT edge AND NOT coalesce(lag(edge) OVER w, false) AND NOT coalesce(lead(edge) OVER w, false) AS free
-  FROM edged WINDOW w AS (PARTITION BY doc_id ORDER BY at)
+  SELECT *, drawn AND spot < n_lines - 1 AND NOT edge AND NOT coalesce(lag(edge) OVER w, false) AND NOT coalesce(lead(edge) OVER w, false) AS free
+  FROM edged WINDOW w AS (PARTITION BY doc_id ORDER BY spot)
 ), apart AS (
-  SELECT doc_id, at, edge OR (free AND NOT coalesce(lag(free) OVER (PARTITION BY doc_id ORDER BY at), false)) AS cut FROM clear
+  SELECT doc_id, spot, edge OR (free AND NOT coalesce(lag(free) OVER (PARTITION BY doc_id ORDER BY spot), false)) AS cut FROM clear
 ), inner_ends AS (
-  SELECT doc_id, list(at ORDER BY at) AS ends FROM apart WHERE cut GROUP BY doc_id
+  SELECT doc_id, list(spot ORDER BY spot) AS ends FROM apart WHERE cut GROUP BY doc_id
 ), marked AS (
   SELECT doc_id, body, lines, list_append(coalesce(ends, []), len(lines)) AS ends FROM hashed LEFT JOIN inner_ends USING (doc_id)
 ), pieces AS (
