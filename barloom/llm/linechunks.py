@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import text_of
-from barloom.session import settle
 
 _BASE, _PRIME = 1_000_003, 2_147_483_647
 #: A text has a word if something in it is neither blank nor one of tab to carriage return.
@@ -138,10 +137,13 @@ def drop_repeated_chunks(
     key = F.struct(
         F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text, F.lit(1)).alias("hash")
     )
-    # The row travels as one column, so that no name of it can clash.
-    keyed = docs.select(F.struct("*").alias("_row"), key.alias("_key"))
-    body = F.coalesce(F.col("_row")[text_col].cast("string"), F.lit(""))
-    shared = _repeated_pairs(keyed.select("_key", F.posexplode(pairs(body)).alias("at", "pair")))
+    # The row travels as one column, so that no name of it can clash; in an array, so that both joins below
+    # need the same columns and Spark shuffles the texts once for the two.
+    keyed = docs.select(F.array(F.struct("*")).alias("_row"), key.alias("_key"))
+    row = F.get("_row", F.lit(0))
+    body = F.transform("_row", lambda r: F.coalesce(r[text_col].cast("string"), F.lit("")))[0]
+    slim = docs.select(key.alias("_key"), F.posexplode(pairs(text)).alias("at", "pair"))
+    shared = _repeated_pairs(slim)
     parts = chunks(body, F.col("_hits"), window, divisor)
     pieces = keyed.join(shared, "_key").select("_key", F.posexplode(parts).alias("place", "part"))
     # A chunk is repeated only if its line pairs are.
@@ -159,7 +161,6 @@ def drop_repeated_chunks(
     marked = marked.withColumn("_hits", some).withColumn("_parts", parts)
     places = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_dropped"))
     left = F.concat_ws("\n", F.flatten(F.transform(places, lambda k: F.get("_parts", k)["lines"])))
-    row = F.col("_row")
     new = F.when(F.col("_dropped").isNull(), row[text_col]).otherwise(left)
     columns = [new.alias(c) if c == text_col else row[c].alias(c) for c in docs.columns if c not in ("_chunks", "_dropped")]
     none = F.array().cast("array<int>")
@@ -170,5 +171,4 @@ def _repeated_pairs(found: DataFrame) -> DataFrame:
     """``_key, _hits``: per text its pairs ``(at, n)`` that occur more than once, of rows ``(_key, at, pair)``."""
     several = found.groupBy("pair").agg(F.count("*").alias("n")).filter("n > 1")
     hits = F.struct((F.col("at") + 1).alias("at"), "n")
-    shared = found.join(several, "pair").groupBy("_key").agg(F.array_sort(F.collect_set(hits)).alias("_hits"))
-    return settle(shared, "pairs")
+    return found.join(several, "pair").groupBy("_key").agg(F.array_sort(F.collect_set(hits)).alias("_hits"))
