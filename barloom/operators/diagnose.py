@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.frames import ratio
-from barloom.functions.ranking import exact_quantiles
+from barloom.functions.ranking import bracketed_quantiles
+from barloom.session import settle
 
 
 def finite(name: str) -> Column:
@@ -28,22 +29,19 @@ def sanitized(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: finite(c) for c in columns}).dropna("any", subset=columns)
 
 
-def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))
-    return df.select(pairs.alias("_p")).select("_p.column", "_p.value")
+def describe(df: DataFrame, columns: list[str], stored: bool = False) -> DataFrame:
+    """Count, mean, sample deviation, min, exact quartiles and max of each column.
 
-
-def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, sample deviation, min, exact quartiles and max of each column."""
-    rows = long_form(df, columns)
-    basics = rows.groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    return basics.join(F.broadcast(exact_quantiles(rows, [0.25, 0.5, 0.75], "column", "value")), "column")
+    All columns are read side by side, never as rows per column. The work takes several scans, so a derived ``df`` is
+    written once first; ``stored=True`` says that it is a table whose scan is cheap.
+    """
+    slim = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    slim = slim if stored else settle(slim, "described")
+    kinds = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    sums = slim.agg(*[F.struct(F.lit(c).alias("column"), *[f(c).alias(k) for k, f in kinds.items()]).alias(f"_{i}") for i, c in enumerate(columns)])
+    basics = sums.select(F.explode(F.array(*[f"_{i}" for i in range(len(columns))])).alias("_s")).select("_s.*")
+    # One row per column of the table.
+    return basics.join(F.broadcast(bracketed_quantiles(slim, columns, [0.25, 0.5, 0.75])), "column", "left")
 
 
 # ------------------------------------------------------------ pair statistics

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from barloom.operators import diagnose as dg
 from barloom.operators import technical as t
+from barloom.plans import features as fb
 from barloom.sources.views import Views
 from barloom.suite.case import case
+from barloom.suite.panel import FULL_BUILD, FULL_VIEWS, feature_sql, tables
 from barloom.suite.sql_views import full, with_views
 
 # A few features of different scale, with nulls at the start of each ticker.
@@ -36,6 +38,31 @@ def a14(v: Views):
     return df.select("column", "count", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max", "q25", "q50", "q75")])
 
 
+_AS_DOUBLE = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in fb.FEATURES)
+# Features have up to six decimals, so quartiles between two of them have up to eight.
+_STATS = ["count(value) AS count", "round(avg(value), 4) AS mean", "round(stddev_samp(value), 4) AS std"]
+_STATS += ["round(min(value), 8) AS min", "round(max(value), 8) AS max"]
+_STATS += [f"round(quantile_cont(value, {q}), 8) AS q{round(q * 100)}" for q in (0.25, 0.5, 0.75)]
+
+
+@case(
+    "a14_describe_features",
+    with_views(
+        FULL_BUILD
+        + f""", shown AS (SELECT {_AS_DOUBLE} FROM (SELECT {', '.join(map(feature_sql, fb.FEATURES))} FROM panel))
+              SELECT "column", {', '.join(_STATS)} FROM (UNPIVOT shown ON COLUMNS(*) INTO NAME "column" VALUE value) GROUP BY 1""",
+        *FULL_VIEWS,
+        recursive=True,
+    ),
+)
+def a14_features(v: Views):
+    """All features of the full panel, incomplete rows included."""
+    df = fb.feature_panel(*tables(v)).select(*[F.expr(feature_sql(c)) for c in fb.FEATURES])
+    df = dg.describe(df, fb.FEATURES)
+    sums = [F.round(c, 4).alias(c) for c in ("mean", "std")]
+    return df.select("column", "count", *sums, *[F.round(c, 8).alias(c) for c in ("min", "max", "q25", "q50", "q75")])
+
+
 _CORR = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS corr FROM feat" for a in COLUMNS for b in COLUMNS)
 
 

@@ -399,7 +399,7 @@ smo AS (SELECT ticker, date, CASE WHEN i < 14 THEN NULL WHEN down = 0 AND up > 0
 _DIGITS = {"rsi_14": 4, "macd": 1, "macd_signal": 1, "macd_hist": 1, "atr": 4, "pe_ratio": 1, "us10y_yield": 4}
 
 
-def _feature_sql(name: str) -> str:
+def feature_sql(name: str) -> str:
     if name == "bb_lower_dist":
         return f"{steady(name)} AS {name}"
     if name in ("days_since_dividend", "days_since_rate_change"):
@@ -433,13 +433,13 @@ def tables(v: Views):
 
 
 def _shown(df):
-    return df.select("ticker", "date", "close", *[F.expr(_feature_sql(c)) for c in fb.FEATURES])
+    return df.select("ticker", "date", "close", *[F.expr(feature_sql(c)) for c in fb.FEATURES])
 
 
 def build_sql(require_pe: bool) -> str:
     return with_views(
         FULL_BUILD
-        + f"SELECT ticker, date, close, {', '.join(map(_feature_sql, fb.FEATURES))} FROM panel WHERE {_not_null(require_pe)}",
+        + f"SELECT ticker, date, close, {', '.join(map(feature_sql, fb.FEATURES))} FROM panel WHERE {_not_null(require_pe)}",
         *FULL_VIEWS,
         recursive=True,
     )

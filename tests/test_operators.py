@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import text as tx
-from barloom.functions.ranking import exact_quantiles, global_position
+from barloom.functions.ranking import bracketed_quantiles, exact_quantiles, global_position
 from barloom.operators import diagnose, evaluate, models, news
 from barloom.sources import registry, upsert
 from barloom.sources.assemble import clean_bars, require_columns
@@ -137,6 +137,28 @@ def test_global_position_and_quantiles_with_a_hot_value(spark):
         assert ordered == list(range(1, len(ordered) + 1))
 
 
+@pytest.mark.parametrize("accuracy", [8, 200, 10_000])
+def test_bracketed_quantiles_are_exact(spark, accuracy):
+    rng = np.random.default_rng(2)
+    n, probs = 3000, [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    hot = np.where(rng.random(n) < 0.4, 7.0, rng.normal(0, 50, n).round(2))
+    wide = np.where(rng.random(n) < 0.01, np.inf, rng.lognormal(0, 9, n))
+    rows = [(float(a), float(b), i % 5, None if i % 3 else float("nan") if i % 2 else float(i), None) for i, (a, b) in enumerate(zip(hot, wide))]
+    df = spark.createDataFrame(rows, "hot double, wide double, few int, gaps double, none double").repartition(7)
+    got = {r["column"]: r for r in bracketed_quantiles(df, df.columns, probs, accuracy).collect()}
+    gaps = [float(i) for i in range(n) if i % 3 == 0 and i % 2 == 0]
+    for name, values in {"hot": hot, "wide": wide, "few": [i % 5 for i in range(n)], "gaps": gaps}.items():
+        # Neighbours first, so that two infinite ones do not meet in a difference.
+        low, high = (np.quantile(values, probs, method=m) for m in ("lower", "higher"))
+        for k, p in enumerate(probs):
+            q = got[name][f"q{round(p * 100)}"]
+            place = (len(values) - 1) * p
+            want = low[k] if low[k] == high[k] else low[k] + (high[k] - low[k]) * (place - int(place))
+            assert q == pytest.approx(want, rel=1e-12), (name, p)
+    assert "none" not in got and set(got) == {"hot", "wide", "few", "gaps"}
+    assert bracketed_quantiles(df.filter("few > 9"), df.columns, probs).count() == 0
+
+
 def brute_windows(days, train, test, step, mode):
     out, i = [], train
     while i < len(days):
