@@ -1,8 +1,10 @@
 """Personal data by fixed rules, widened by bootstrapped context patterns; DataFrame functions only.
 
 The rules find e-mail addresses, IP addresses, card and phone numbers. They seed a graph of lexical
-patterns (the two words before a token and the token's shape) and instances (the tokens). Scores flow
-from seeds to patterns and back for a few rounds; tokens behind trusted patterns are further spans.
+patterns (the two words before an instance in the whole text, and its shape) and instances (rule matches
+and other tokens). Long hexadecimal keys are a fifth seed: they are no spans by themselves, only behind a
+trusted pattern. Scores flow from seeds to patterns and back for a few rounds; instances behind trusted
+patterns are further spans.
 """
 
 from __future__ import annotations
@@ -14,6 +16,9 @@ from barloom.llm.common import text_of
 from barloom.session import settle
 
 KINDS = ("email", "ip", "card", "phone")
+#: Found by context alone, after the kinds of the rules.
+ALL_KINDS = (*KINDS, "key")
+_KEY = len(KINDS)
 # The rules of the contract. Quantifiers are possessive wherever nothing could be given back, and a match
 # starts at the head of a run or where the last match ended, so long runs cost linear time.
 _WORDCHARS = r"A-Za-z0-9._%+-"
@@ -28,6 +33,13 @@ _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _BLANK = r"\x20\x09-\x0D"
 #: Words with a digit or an at sign: what the patterns can speak for.
 TOKEN = rf"(?<![^{_BLANK}])[^{_BLANK}0-9@]*+[0-9@][^{_BLANK}]*+"
+#: An instance: a phone or card number with its blanks as one, else a word. A card here need not pass its check digit.
+INSTANCE = (
+    rf"(?<![^{_BLANK}])\+[0-9][\x20().0-9-]+[0-9]"
+    rf"|(?<![^{_BLANK}])(?<![0-9]\x20)[0-9](?:[\x20-]?[0-9]){{12,18}}+(?![\x20-]?[0-9])(?![A-Za-z_])|{TOKEN}"
+)
+#: What seeds keys: 32 or more hexadecimal digits, of both kinds.
+KEY_SEED = r"(?<![A-Za-z0-9])(?=[a-f]*+[0-9])(?=[0-9]*+[a-f])[0-9a-f]{32,}+(?![A-Za-z0-9])"
 
 
 #: Matches placed at a time.
@@ -39,18 +51,34 @@ def _bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Array of ``(start, end, body, before)`` of all matches, in code points, with the text since the last one."""
+def _last_two(text: Column) -> Column:
+    words = F.filter(F.split(text, rf"[{_BLANK}]+"), lambda w: w != "")
+    return F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), " ")
+
+
+def matches(text: Column, pattern: str, context: bool = False) -> Column:
+    """Array of ``(start, end, body, before)`` of all matches, in code points.
+
+    ``before`` is null, or with ``context`` the last two words of all the text before a match. They are carried from
+    match to match, so a text is read once however many matches it has.
+    """
     parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
 
     kind = "struct<start:int,end:int,body:string,before:string>"
     empty = F.array().cast(f"array<{kind}>")
+    no_tail = F.lit("" if context else None).cast("string")
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gaps"])
         end = start + F.length(x["found"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["found"].alias("body"), x["gaps"].alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["all"], F.array(one)).alias("all"))
+
+        def grown(before: Column) -> Column:
+            one = F.struct(start.alias("start"), end.alias("end"), x["found"].alias("body"), before.alias("before"))
+            # A match is a word of its own, blanks inside it included.
+            tail = F.concat(F.element_at(F.split(before, " "), -1), F.lit(" "), F.regexp_replace(x["found"], rf"[{_BLANK}]", "")) if context else no_tail
+            return F.struct(end.alias("at"), tail.alias("tail"), F.concat(acc["all"], F.array(one)).alias("all"))
+
+        return _bound(_last_two(F.concat(acc["tail"], x["gaps"])), grown) if context else grown(no_tail)
 
     def place(p: Column) -> Column:
         # Appending copies an array: blocks keep the work for texts with very many matches nearly linear.
@@ -59,11 +87,11 @@ def matches(text: Column, pattern: str) -> Column:
                 F.slice(p["gaps"], b * _BLOCK + 1, F.lit(_BLOCK)).alias("gaps"), F.slice(p["found"], b * _BLOCK + 1, F.lit(_BLOCK)).alias("found")
             )
             pairs = F.filter(pairs, lambda x: x["found"].isNotNull())
-            inner = F.aggregate(pairs, F.struct(acc["at"].alias("at"), empty.alias("all")), add)
-            return _bound(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["all"], F.array(x["all"])).alias("all")))
+            inner = F.aggregate(pairs, F.struct(acc["at"].alias("at"), acc["tail"].alias("tail"), empty.alias("all")), add)
+            return _bound(inner, lambda x: F.struct(x["at"].alias("at"), x["tail"].alias("tail"), F.concat(acc["all"], F.array(x["all"])).alias("all")))
 
         blocks = F.sequence(F.lit(0), F.floor((F.size(p["found"]) - 1) / _BLOCK).cast("int"))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("all"))
+        start = F.struct(F.lit(0).alias("at"), no_tail.alias("tail"), F.array().cast(f"array<array<{kind}>>").alias("all"))
         return F.when(F.size(p["found"]) == 0, empty).otherwise(
             F.aggregate(blocks, start, block, lambda acc: F.flatten(acc["all"]))
         )
@@ -112,31 +140,31 @@ def base_spans(text: Column) -> Column:
 
 
 def _shape(body: Column) -> Column:
-    """Digits as 9, letters as a, each run kept once."""
-    letters = F.regexp_replace(F.regexp_replace(body, r"\p{L}+", "a"), "[0-9]", "9")
-    return F.regexp_replace(letters, "9{5,}", "9+")
+    """Long runs that mix letters and digits as k, other digits as 9 and letters as a, each run kept once."""
+    mixed = F.regexp_replace(body, r"(?=[0-9]*+\p{L})(?=\p{L}*+[0-9])[\p{L}0-9]{16,}+", "\u0001")
+    letters = F.regexp_replace(F.regexp_replace(mixed, r"\p{L}+", "a"), "[0-9]", "9")
+    return F.translate(F.regexp_replace(letters, "9{5,}", "9+"), "\u0001", "k")
 
 
-def candidates(text: Column, base: Column, window: int = 80) -> Column:
-    """Array of ``(start, end, body, pattern, seed)``; seed is the kind of the rule match in the token, or null.
+def candidates(text: Column, base: Column) -> Column:
+    """Array of ``(start, end, body, pattern, seed)``; seed is the kind of the rule match in the instance, or null.
 
-    A pattern is the last two of the words in the ``window`` characters before the token, and its shape.
+    A pattern is the two words before the instance, whatever lies between, and its shape.
     """
 
     def describe(m: Column) -> Column:
-        words = F.filter(F.split(F.right(m["before"], F.lit(window)), rf"[{_BLANK}]+"), lambda w: w != "")
-        context = F.array_join(F.transform(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), F.lower), " ")
         seeds = F.filter(base, lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"]))
+        key = F.when(m["body"].rlike(KEY_SEED), F.lit(_KEY))
         return F.struct(
             m["start"].alias("start"),
             m["end"].alias("end"),
             m["body"].alias("body"),
-            F.concat_ws("\t", context, _shape(m["body"])).alias("pattern"),
-            F.get(seeds, 0)["kind"].alias("seed"),
+            F.concat_ws("\t", F.lower(m["before"]), _shape(m["body"])).alias("pattern"),
+            F.coalesce(F.get(seeds, 0)["kind"], key).alias("seed"),
         )
 
     none = F.array().cast("array<struct<start:int,end:int,body:string,pattern:string,seed:int>>")
-    return F.when(text.rlike("[0-9@]"), F.transform(matches(text, TOKEN), describe)).otherwise(none)
+    return F.when(text.rlike("[0-9@]"), F.transform(matches(text, INSTANCE, context=True), describe)).otherwise(none)
 
 
 def trusted_patterns(
@@ -169,7 +197,8 @@ def trusted_patterns(
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``id_col, base, spans`` for every row: arrays of ``(kind, start, end)``, kind by number in ``KINDS``.
 
-    ``base`` are the rules' matches, ``spans`` those and the tokens behind trusted patterns that hold none.
+    ``base`` are the rules' matches, ``spans`` those and the instances behind trusted patterns that hold none; the
+    kinds of ``spans`` are numbers in ``ALL_KINDS``.
     A null text is empty; rows equal in id and text come out alike, as often as they come; null ids are
     kept; an empty table gives no rows; other columns are ignored.
     """
@@ -180,7 +209,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     slim = settle(slim, "pii")
     tokens = slim.select(id_col, "_hash", F.explode("_tokens").alias("t")).select(id_col, "_hash", "t.*")
     trusted = trusted_patterns(tokens.select("pattern", "body", "seed"), **options)
-    new = tokens.filter("seed is null").join(trusted, "pattern")
+    new = tokens.filter(F.col("seed").isNull() | (F.col("seed") == _KEY)).join(trusted, "pattern")
     span = F.struct("kind", "start", "end")
     extra = new.groupBy(id_col, "_hash").agg(F.collect_set(span).alias("_extra"))
     extra = extra.withColumnRenamed(id_col, "_id").withColumnRenamed("_hash", "_same")
@@ -191,6 +220,6 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def written(spans: Column) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, ALL_KINDS))
     one = lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))
     return F.array_join(F.transform(spans, one), ",")

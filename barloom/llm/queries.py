@@ -100,7 +100,9 @@ def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     counts = [
         (F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)
     ]
-    return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    shown = F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans")
+    n_spans, n_base = F.size("spans").cast("long"), F.size("base").cast("long")
+    return found.select("doc_id", *counts, *shown, n_spans.alias("n_spans"), (n_spans - n_base).alias("n_added"))
 
 
 def op6_perplexity(spark: SparkSession, folder: str) -> DataFrame:

@@ -66,6 +66,46 @@ def test_contexts_find_what_the_rules_miss(spark):
     assert all(got[i] == "card:18:34" for i in range(5))
 
 
+def test_contexts_reach_over_instances_and_blanks(spark):
+    from barloom.llm.pii import INSTANCE, matches
+
+    text = "call me  +1 (555) 010-9999 or 4111 1111 1111 1111,\n x5 now 7é"
+    df = spark.createDataFrame([(text,), ("a " * 600 + "9",), ("",), ("12 " * 700,)], "text string")
+    got = [r[0] for r in df.select(matches(F.col("text"), INSTANCE, context=True)).collect()]
+    found = [(text[m["start"] : m["end"]], m["body"], m["before"]) for m in got[0]]
+    assert [f[1:] for f in found] == [
+        ("+1 (555) 010-9999", "call me"),
+        ("4111 1111 1111 1111", "+1(555)010-9999 or"),
+        ("x5", "or 4111111111111111,"),
+        ("7é", "x5 now"),
+    ]
+    assert all(at == body for at, body, _ in found)
+    assert [m["before"] for m in got[1]] == ["a a"] and got[2] == []
+    assert len(got[3]) == 700 and [m["before"] for m in got[3]][:3] == ["", "12", "12 12"]
+
+
+def test_held_out_identifiers_behind_learned_contexts(spark):
+    """Identifiers that no rule finds, behind contexts that seeds share, against look-alikes elsewhere."""
+    from barloom.llm.pii import find_personal_data
+
+    rng = random.Random(11)
+    words = "the of and rivers hold many stones under old bridges near quiet towns".split()
+    filler = lambda k: " ".join(rng.choices(words, k=k))
+    key = lambda letters, k: "".join(rng.choices(letters, k=k))
+    contexts = ['auth token = "{}"', "api secret: {}", "my access key {}"]
+    seeds = [filler(9) + " " + rng.choice(contexts).format(key("0123456789abcdef", 40)) + " " + filler(9) for _ in range(120)]
+    other = "ghijklmnopqrstuvwxyz0123456789"
+    planted = [filler(9) + " " + rng.choice(contexts).format(key(other, 36)) + " " + filler(9) for _ in range(200)]
+    harmless = [filler(9) + " " + rng.choice(["order ref {}", "build of {}", 'file name = "{}"']).format(key(other, 36)) + " " + filler(9) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(seeds + planted + harmless)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in find_personal_data(docs).collect()}
+    hit = lambda r: any(s["kind"] == 4 for s in r["spans"])
+    assert not any(len(got[i]["base"]) for i in range(120, 320))
+    right = sum(hit(got[i]) for i in range(120, 320))
+    wrong = sum(hit(got[i]) for i in range(320, 520))
+    assert right >= 0.9 * 200 and right >= 0.9 * (right + wrong)
+
+
 def test_empty_table(spark):
     from barloom.llm.pii import find_personal_data
 
