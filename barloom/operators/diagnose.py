@@ -104,6 +104,29 @@ def gram(df: DataFrame, columns: list[str]) -> np.ndarray:
     return g
 
 
+def gram_and_ranges(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The products of :func:`gram` with least and greatest value of each column, all of one pass over complete rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = len(columns)
+        total, low, high = np.zeros((p, p)), np.full(p, np.inf), np.full(p, -np.inf)
+        for batch in batches:
+            x = batch[columns].to_numpy(dtype=float)
+            if len(x):
+                total, low, high = total + x.T @ x, np.minimum(low, x.min(axis=0)), np.maximum(high, x.max(axis=0))
+        i, j = np.meshgrid(range(p), range(p), indexing="ij")
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "sij": total.ravel(), "low": low[i.ravel()], "high": high[i.ravel()]})
+
+    parts = df.select(*columns).mapInPandas(run, "i int, j int, sij double, low double, high double")
+    # p squared rows.
+    rows = parts.groupBy("i", "j").agg(F.sum("sij").alias("sij"), F.min("low").alias("low"), F.max("high").alias("high")).collect()
+    g, low, high = np.zeros((len(columns), len(columns))), np.zeros(len(columns)), np.zeros(len(columns))
+    for r in rows:
+        g[r["i"], r["j"]], low[r["i"]], high[r["i"]] = r["sij"], r["low"], r["high"]
+    # Without any row there is no range.
+    return g, np.where(np.isinf(low), 0.0, low), np.where(np.isinf(high), 0.0, high)
+
+
 def variance_inflation(df: DataFrame, columns: list[str]) -> DataFrame:
     """Variance inflation of each feature over all complete rows, no intercept added.
 
@@ -112,9 +135,9 @@ def variance_inflation(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     spark = df.sparkSession
     clean = sanitized(df.select(*columns), columns)
-    ranges = clean.agg(*[x for c in columns for x in (F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi"))]).first()
-    moving = [c for c in columns if ranges[f"{c}_lo"] != ranges[f"{c}_hi"]]
-    g = gram(clean, moving)
+    g, low, high = gram_and_ranges(clean, columns)
+    kept = [i for i in range(len(columns)) if low[i] != high[i]]
+    moving, g = [columns[i] for i in kept], g[np.ix_(kept, kept)]
     scale = np.sqrt(np.diag(g))
     unit = g / np.outer(scale, scale)
     if np.linalg.matrix_rank(unit) < len(moving):
