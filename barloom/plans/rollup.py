@@ -7,13 +7,13 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators.news import analyse_articles, daily_state, merged_state
+from barloom.operators.news import analyse_whole, daily_state, merged_state, per_company
 from barloom.session import settle
 from barloom.sources.upsert import SENTIMENT, read_table, table_exists, upsert_table
 
 
 class Rollup:
-    """Accepted articles, their daily parts by batch, and daily sentiment, below one folder.
+    """Accepted articles with their companies, their daily parts by batch, and daily sentiment, below one folder.
 
     A batch is one partition of the articles and of the parts, so adding it again replaces it: a batch that
     failed half-way is simply added once more. Articles are deduplicated against those of all other
@@ -47,8 +47,8 @@ class Rollup:
             stored = self._stored("articles").filter(F.col("_batch") != batch).select("url", "headline")
         if table_exists(self.spark, f"{self.folder}/parts/_batch={batch}"):
             days = settle(self._stored("parts").filter(F.col("_batch") == batch).select("ticker", "date"), "days")
-        own = self._replace(analyse_articles(articles, terms, lexicon, stored=stored, **options), "articles", batch)
-        touched = self._replace(daily_state(own), "parts", batch).select("ticker", "date")
+        own = self._replace(analyse_whole(articles, terms, lexicon, stored=stored, **options), "articles", batch)
+        touched = self._replace(daily_state(per_company(own)), "parts", batch).select("ticker", "date")
         if days is not None:
             touched = touched.unionByName(days)
         states = self._stored("parts").drop("_batch").join(touched.distinct(), ["ticker", "date"], "right")
@@ -56,7 +56,7 @@ class Rollup:
 
     def articles(self) -> DataFrame:
         """All accepted articles, one row per company that they name."""
-        return self._stored("articles").drop("_batch")
+        return per_company(self._stored("articles").drop("_batch"))
 
     def daily(self) -> DataFrame:
         return read_table(self.spark, f"{self.folder}/daily")
