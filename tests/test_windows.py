@@ -112,3 +112,32 @@ def test_return_of_the_others_runs_on_their_calendar(spark, bars, panel, with_se
         want = pd.DataFrame({"r": change.reindex(rows["date"]).to_numpy(), "lag": change.shift().reindex(rows["date"]).to_numpy()})
         np.testing.assert_allclose(rows["r"].astype(float), want["r"].astype(float), atol=1e-10, equal_nan=True)
         np.testing.assert_allclose(rows["lag"].astype(float), want["lag"].astype(float), atol=1e-10, equal_nan=True)
+
+
+def test_the_many_smoothing_levels_of_the_full_build_move_narrow_rows(spark, bars):
+    from barloom.plans.features import FEATURES, feature_panel
+
+    meta = spark.createDataFrame([("A", "X", True), ("B", "Y", True)], "ticker string, sector string, is_active boolean")
+    sentiment = spark.createDataFrame([], "ticker string, date date, sentiment_score double")
+    dividends = spark.createDataFrame([], "ticker string, ex_dividend_date date, dividend_amount double")
+    reports = "eps double, roe double, debt_to_equity double, book_value_per_share double"
+    fundamentals = spark.createDataFrame([], f"ticker string, report_date date, {reports}")
+    series = ("sbp_policy_rate", "pkr_usd_rate", "brent_oil_price", "sp500_close", "nasdaq_close", "dxy_close", "us10y_yield")
+    macro = spark.createDataFrame([], ", ".join(["date date", *[f"{c} double" for c in series]]))
+    df = feature_panel(bars, meta, sentiment, dividends, fundamentals, macro)
+    assert df.columns == ["ticker", "date", "close", "sector", *FEATURES] and df.count() == bars.count()
+    nodes, widths = [df._jdf.queryExecution().optimizedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        kids = node.children()
+        nodes += [kids.apply(i) for i in range(kids.size())]
+        text = node.simpleString(1000)
+        if text.startswith("Window") and "lag(_up" in text:
+            widths.append(node.output().size())
+    assert len(widths) >= 5 and max(widths) < 40, widths
+
+
+def test_stages_too_wide_for_the_compiler_of_the_jvm_are_not_fused(spark):
+    from barloom.session import prepare
+
+    assert int(prepare(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
