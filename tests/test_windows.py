@@ -141,3 +141,19 @@ def test_stages_too_wide_for_the_compiler_of_the_jvm_are_not_fused(spark):
     from barloom.session import prepare
 
     assert int(prepare(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_no_level_makes_an_earlier_value_twice(bars):
+    import re
+
+    nodes, seen = [t.technical_features(bars)._jdf.queryExecution().optimizedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        kids = node.children()
+        nodes += [kids.apply(i) for i in range(kids.size())]
+        text = node.simpleString(100_000)
+        if text.startswith("Window"):
+            made = re.findall(r"lag\([^()]*\)", text)
+            seen += len(made)
+            assert len(made) == len(set(made)), sorted(made)
+    assert seen > 100
