@@ -62,6 +62,34 @@ def test_a_large_group_of_near_copies_in_small_blocks(spark):
     assert all(got[i] == 0 for i in range(300)) and all(got[1000 + i] == 1000 + i for i in range(100))
 
 
+def test_a_link_between_dense_groups_is_found(spark):
+    """Every member's nearest candidates are in its own group; the only link between both is the pair of unchanged texts."""
+    rng = random.Random(5)
+    one = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+    two = [*one[:268], *(f"v{rng.randint(0, 10**6)}" for _ in range(32))]
+    texts = {0: " ".join(one), 100: " ".join(two)}
+    for i in range(1, 40):
+        for at, base in ((0, one), (100, two)):
+            copy = list(base)
+            copy[20 + 5 * i] = f"x{at + i}"
+            texts[at + i] = " ".join(copy)
+    links = [p for p in near_pairs(texts) if (p[0] < 100) != (p[1] < 100)]
+    assert [tuple(sorted(p)) for p in links] == [(0, 100)]
+    assert set(groups_of(spark, texts, recall=0.9999).values()) == {0}
+
+
+def test_members_of_all_blocks_of_a_crowded_cell_meet(spark):
+    rng = random.Random(7)
+    texts = {}
+    for i in range(100):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+        copy = list(words)
+        copy[100] = "new"
+        texts |= {2 * i: " ".join(words), 2 * i + 1: " ".join(copy)}
+    got = groups_of(spark, texts, block=2, crowd=200, recall=0.9999)
+    assert all(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(100))
+
+
 def test_odd_rows(spark):
     from barloom.llm.nearcopies import drop_near_copies
 
