@@ -58,8 +58,8 @@ def _shares(cells: DataFrame, margin: str, shares: dict[str, float] | float) ->
 def rake(cells: DataFrame, margins: dict[str, dict[str, float] | float], rounds: int = ROUNDS) -> DataFrame:
     """Cells with ``fitted``: their token share after ``rounds`` of scaling to each margin in turn.
 
-    The cells stay a table; sums of a margin are pre-aggregated and joined back, and each round is settled
-    so the plan stays short. Cells without tokens are left out.
+    The cells stay a table; sums of a margin are pre-aggregated and joined back, and each scaling is settled
+    so the plan stays short: over a whole round it would hold seven sums for three margins. Cells without tokens are left out.
     """
     cells = settle(cells.filter("tokens > 0").withColumn("fitted", F.col("tokens").cast("double")), "cells")
     for m, target in margins.items():
@@ -71,8 +71,7 @@ def rake(cells: DataFrame, margins: dict[str, dict[str, float] | float], rounds:
             # One row per category of the margin; the optimizer broadcasts it if it is small.
             scale = cells.groupBy(F.col(m).alias("_m")).agg((F.max(f"_share_{m}") / F.sum("fitted")).alias("_by"))
             scaled = cells.join(scale, cells[m].eqNullSafe(scale["_m"]))
-            cells = scaled.withColumn("fitted", F.col("fitted") * F.col("_by")).drop("_m", "_by")
-        cells = settle(cells, "cells")
+            cells = settle(scaled.withColumn("fitted", F.col("fitted") * F.col("_by")).drop("_m", "_by"), "cells")
     return cells.drop(*[f"_share_{m}" for m in margins])
 
 

@@ -376,3 +376,14 @@ def test_copies_of_the_query_meet_the_shares(spark):
         assert r["kept"] == (r["copies"] > 0)
     total, wanted = sum(drawn.values()), sum(TOPIC_SHARES[t] for t in drawn)
     assert all(abs(n / total - TOPIC_SHARES[t] / wanted) < 0.01 for t, n in drawn.items())
+
+
+def test_each_scaling_of_a_mix_is_settled_by_itself(spark, monkeypatch):
+    """The plan of one round must not hold the sums of its earlier margins again."""
+    from barloom.llm import mixing
+
+    plans, settle = [], mixing.settle
+    monkeypatch.setattr(mixing, "settle", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or settle(df, name))
+    cells = spark.createDataFrame([("a", "en", "prose", 5), ("a", "de", "table", 3), ("b", "en", "prose", 2)], "source string, lang string, topic string, tokens long")
+    mixing.rake(cells, {"source": 0.5, "lang": 0.5, "topic": 0.5}, rounds=2).collect()
+    assert max(p.count("Aggregate") for p in plans[2:]) == 1
