@@ -178,8 +178,13 @@ def _similar(a: np.ndarray, b: np.ndarray, flat: pa.Array, similarity: float) ->
     return near
 
 
+#: Spark takes what a Python function or an explode gives for as many rows as it is given, and would broadcast tables
+#: many times the size that it allows. Joins of such tables, and of what is made of them, are never broadcast.
+SORTED = "merge"
+
+
 def _placed(nodes: DataFrame, cells: Cells) -> DataFrame:
-    """``(table, cell)`` of every node in every table, beside its own columns."""
+    """``(table, cell)`` of every node in every table, beside its own columns; a row per table, so to be joined :data:`SORTED`."""
     names = nodes.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +211,7 @@ def _candidates(nodes: DataFrame, cells: Cells, similarity: float, block: int) -
     """
     placed = _placed(nodes.select("nid", "fp", "size"), cells)
     counts = placed.groupBy("table", "cell").agg(F.count("*").alias("n")).filter("n > 1")
-    busy = placed.join(counts, ["table", "cell"])
+    busy = placed.hint(SORTED).join(counts, ["table", "cell"])
     busy = busy.withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int")).withColumn("own", F.expr("cast(pmod(xxhash64(nid), blocks) as int)"))
     # A row of the first block goes to all pairs with that block, any other row to its own pair with it.
     first = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))
@@ -232,17 +237,17 @@ def _links_between(nodes: DataFrame, open_cells: DataFrame, sets_of, cells: Cell
     task: first the rows that have a candidate in another root are found, then they come with their shingle sets,
     are compared, and each root is linked to the smallest one that it reaches in its task. ``sets_of`` gives the sets of nodes ``(nid)``.
     """
-    placed = _placed(nodes.select("nid", "fp", "size", "root"), cells).join(open_cells, ["table", "cell"])
+    placed = _placed(nodes.select("nid", "fp", "size", "root"), cells).hint(SORTED).join(open_cells, ["table", "cell"])
     roots = placed.groupBy("table", "cell", "root").agg(F.count("*").alias("n"))
     large = F.col("n") > block
     sums = roots.groupBy("table", "cell").agg(F.count("*").alias("roots"), F.sum(F.when(~large, F.col("n"))).alias("rest")).filter("roots > 1")
-    shares = roots.join(sums, ["table", "cell"]).select(
+    shares = roots.hint(SORTED).join(sums, ["table", "cell"]).select(
         "table", "cell", "root", F.when(large, F.col("root")).alias("_one"), F.ceil(F.when(large, F.col("n")).otherwise(F.col("rest")) / F.lit(block)).cast("int").alias("_parts")
     )
     part = F.when(F.col("_one").isNull(), F.expr("pmod(xxhash64(root), _parts)")).otherwise(F.expr("pmod(xxhash64(nid), _parts)"))
-    own = placed.join(shares, ["table", "cell", "root"]).withColumn("own", F.xxhash64(F.coalesce("_one", F.lit(-1)), part))
+    own = placed.hint(SORTED).join(shares, ["table", "cell", "root"]).withColumn("own", F.xxhash64(F.coalesce("_one", F.lit(-1)), part))
     blocks = own.select("table", "cell", "own", "_one").distinct().groupBy("table", "cell").agg(F.collect_list(F.struct("own", "_one")).alias("_all"))
-    met = own.join(blocks, ["table", "cell"])
+    met = own.hint(SORTED).join(blocks, ["table", "cell"])
     met = met.withColumn("_all", F.filter("_all", lambda x: F.col("_one").isNull() | x["_one"].isNull() | (x["_one"] != F.col("_one"))))
     met = met.withColumn("_other", F.explode("_all")).withColumn("pair", F.xxhash64(F.least("own", "_other.own"), F.greatest("own", "_other.own")))
     met = met.select(*PAIR, "own", "nid", "fp", "size", "root")
@@ -265,7 +270,7 @@ def _links_between(nodes: DataFrame, open_cells: DataFrame, sets_of, cells: Cell
 
     given = ", ".join(f"{c} {met.schema[c].dataType.simpleString()}" for c in names)
     some = settle(met.repartition(*PAIR).sortWithinPartitions(*PAIR).mapInArrow(involved, given), "wide-open")
-    held = some.join(sets_of(some.select("nid")), "nid").select(*names, "shingles")
+    held = some.hint(SORTED).join(sets_of(some.select("nid")), "nid").select(*names, "shingles")
     return held.repartition(*PAIR).sortWithinPartitions(*PAIR).mapInArrow(linked, "u long, v long").distinct()
 
 
@@ -299,7 +304,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     side = lambda c: F.pmod(F.xxhash64(c), F.lit(sides))
     tiled = pairs.withColumn("tile", side("u") * sides + side("v"))
     ends = tiled.select("tile", F.col("u").alias("nid")).union(tiled.select("tile", "v")).distinct()
-    held = ends.join(sets, "nid").select(F.col("tile").alias("place"), "nid", "shingles")
+    held = ends.hint(SORTED).join(sets, "nid").select(F.col("tile").alias("place"), "nid", "shingles")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -339,12 +344,12 @@ def near_copy_groups(
     pairs, open_cells = found.filter("u is not null").select("u", "v"), found.filter("u is null").select("table", "cell")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        ends = wanted.distinct().join(nodes.select("nid", F.col("first").alias("key")), "nid")
+        ends = wanted.distinct().hint(SORTED).join(nodes.select("nid", F.col("first").alias("key")), "nid")
         return settle(_shingle_sets(slim.join(ends, "key").dropDuplicates(["nid"]).select("nid", "_text"), width), "wide-sets")
 
     def rooted(links: DataFrame) -> DataFrame:
         parts = connected_components(links, "wide-parts").withColumnRenamed("node", "nid")
-        return nodes.join(parts, "nid", "left").withColumn("root", F.coalesce("component", "nid")).drop("component")
+        return nodes.hint(SORTED).join(parts, "nid", "left").withColumn("root", F.coalesce("component", "nid")).drop("component")
 
     links = settle(_verified(pairs, sets_of(pairs.select(F.col("u").alias("nid")).union(pairs.select("v"))), similarity), "wide-links")
     joined = rooted(links)
@@ -353,7 +358,7 @@ def near_copy_groups(
         more = settle(_links_between(joined.filter("size > 0"), open_cells, sets_of, cells, similarity, block), "wide-links")
         joined = rooted(links.union(more)) if not more.isEmpty() else joined
     names = joined.groupBy("root").agg(F.min("first").alias("component"))
-    return prints.join(joined.select("same", "root").join(names, "root").select("same", "component"), "same").select("key", "component")
+    return prints.hint(SORTED).join(joined.select("same", "root").hint(SORTED).join(names, "root").select("same", "component"), "same").select("key", "component")
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, **options) -> DataFrame:

@@ -101,3 +101,23 @@ def test_odd_rows(spark):
     assert got.columns == df.columns
     assert sorted(r["doc_id"] for r in got.collect()) == [4, 6, 9, 10]
     assert drop_near_copies(df.filter(F.lit(False))).count() == 0
+
+
+def test_cells_of_all_tables_are_never_broadcast(spark):
+    """A node is a row per table and block there, while Spark sizes these rows by those of the nodes' small file."""
+    from barloom.llm.nearcopies import Cells, _candidates, _links_between, _placed
+    from barloom.session import settle
+
+    rows = [(i, bytes([i % 7]) * 16, 5, i % 5) for i in range(60)]
+    nodes = settle(spark.createDataFrame(rows, "nid long, fp binary, size int, root long"), "nodes")
+    cells = Cells(60, 0.8, 0.99, 32, 3)
+    open_cells = settle(_placed(nodes, cells).select("table", "cell").distinct(), "open")
+
+    def sets_of(wanted):
+        sets = spark.createDataFrame([(i, [i % 7, 100]) for i in range(60)], "nid long, shingles array<long>")
+        return settle(wanted.distinct().join(sets, "nid"), "sets")
+
+    for made in (_candidates(nodes, cells, 0.8, 16), _links_between(nodes, open_cells, sets_of, cells, 0.8, 16)):
+        assert made.collect()
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
