@@ -134,3 +134,63 @@ def test_no_findings_at_all_repeats_and_null_ids(spark):
     text = "secret = abcdefgh99 and x"
     got = find_secrets(spark.createDataFrame([(None, text), (1, text), (1, text), (None, None)], schema), fit_rows=40).collect()
     assert sorted(len(r["base"]) for r in got) == [0, 1, 1, 1]
+
+
+def some_findings(spark, hits, others, long=0):
+    from barloom.llm.credentials import read_texts
+
+    rng = random.Random(5)
+    key = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    docs = [f'lorem {i} ipsum token = "{key(40)}" dolor' for i in range(hits)] + [f"see item_{i}{i % 7}x.pdf of the list" for i in range(others)]
+    docs += [f"a long run x{'Ab1' * 300}{i} ends" for i in range(long)]
+    return read_texts(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
+
+
+def test_every_finding_has_its_label(spark):
+    """No limit on how many findings of the texts there are, nor on their length."""
+    from barloom.llm.credentials import labelled_findings
+
+    findings, labels = labelled_findings(some_findings(spark, 60, 90, 3), rows=40)
+    assert len(findings) == len(labels) == 60 + 90 + 3 + 20
+    assert labels.sum() == 60 + 10 and sum(len(f[1]) > 512 for f in findings) == 3
+
+
+def test_shares_hold_every_finding_and_their_network_finds_keys(spark):
+    from barloom.llm import credentials as c
+
+    read = some_findings(spark, 60, 700, 2)
+    found = c.corpus_findings(read)
+    rows = c.dealt_findings(found, {True: 3, False: 11}, 11).collect()
+    assert {(r["before"], r["value"], r["after"]) for r in rows} == {(r["before"], r["value"], r["after"]) for r in found.collect()}
+    assert {r["part"] for r in rows} == set(range(11))
+    assert all(len({r["held"] for r in rows if r["value"] == v}) == 1 for v in {r["value"] for r in rows})
+    fitted, again = (c.fitted_detector(read, rows=1200) for _ in range(2))
+    assert fitted.thresholds == again.thresholds
+    assert all(np.array_equal(w, again.network.weights[k]) for k, w in fitted.network.weights.items())
+    findings, labels = c.drawn_findings([("see ", " and")], 500, 12345)
+    got = fitted.accepts(findings)
+    assert got[labels == 1].mean() >= 0.95 and labels[got].mean() >= 0.9
+
+
+def test_gradients_in_pieces_equal_those_at_once():
+    from barloom.llm.credentials import Network
+
+    findings = [("key ", "aB3dEf9h", " x"), ("", "ab1" * 100 + "Zq9", " y"), ("é", "00ff00ff00", ".."), ("v", "x1" * 60, "")]
+    labels, network = np.array([1.0, 0.0, 1.0, 0.0]), Network(seed=2)
+    whole = network._gradients(findings, labels)
+    for piece in (16, 50, 150):
+        for name, g in network._gradients(findings, labels, piece).items():
+            assert np.allclose(g, whole[name], atol=1e-12), (piece, name)
+
+
+def test_weighted_thresholds_equal_repeated_findings():
+    from barloom.llm.credentials import _calibrated, _threshold
+
+    rng = np.random.default_rng(4)
+    logit, labels, weight = rng.normal(size=200), (rng.random(200) < 0.5).astype(float), rng.integers(1, 6, 200)
+    logit += 2 * labels
+    many = [np.repeat(x, weight) for x in (logit, labels)]
+    one = np.ones(weight.sum())
+    assert np.allclose(_calibrated(logit, labels, weight.astype(float)), _calibrated(*many, one))
+    p, q = (1 / (1 + np.exp(-x)) for x in (logit, many[0]))
+    assert np.isclose(_threshold(p, labels, weight.astype(float), 0.9), _threshold(q, many[1], one, 0.9))
